@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from . import sql
+from .line_dedup import op5_line_dedup
 from .mixing import op9_mixing
 from .quality_rules import op1_quality_rules
+from .simhash import op10_simhash_near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op5_line_dedup": op5_line_dedup,
         "op9_mixing": op9_mixing,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
