@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, materialize, table, words
+from .common import BLANK, let, materialize, table, words
 
 #: Candidate cutoffs of each rule, lenient to strict.  A document is turned away above the cutoff.
 GRIDS = {
@@ -41,8 +41,6 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def _covered(windows: Column) -> Column:
     """Words inside 3-word windows whose hash occurs twice or more: sort (hash, place), keep
     the places of equal neighbours, and add up the union of [place, place + 3)."""
-    from .common import let
-
     def places(s: Column) -> Column:
         twin = F.filter(s, lambda x, i: F.get(s, i - 1)["h"].eqNullSafe(x["h"]) | F.get(s, i + 1)["h"].eqNullSafe(x["h"]))
         return F.sort_array(F.transform(twin, lambda x: x["i"]))
@@ -58,25 +56,22 @@ def score(docs: DataFrame, keep: Column | None = None) -> DataFrame:
     ``keep``: a further column (such as a struct of the whole row) to carry along as ``_doc``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    none = F.array().cast("array<bigint>")
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    # everything that is used more than once is bound by let(): wherever the optimizer moves these columns, nothing is computed once per element
+    word_count = lambda w: F.struct(F.size(w).alias("n"), F.when(F.size(w) < 3, none).otherwise(hashes(w)).alias("k"))
+    repeats = lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0).cast("long")).otherwise(_covered(k))
+    by_word = let(let(words(F.col("text")), word_count), lambda s: F.struct(s["n"].cast("long").alias("n_words"), repeats(s["k"]).alias("n_repeat_words")))
+    with_word = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
+    by_line = let(with_word, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     carried = [keep.alias("_doc")] if keep is not None else []
-    more = ["_doc"] if carried else []
-    first = docs.select(
+    third = docs.select(
         *carried, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("stratum"),
-        words(F.col("text")).alias("_w"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK}]")).alias("_lines"),
+        by_word.alias("_by_word"), by_line.alias("_by_line"),
         F.char_length(F.regexp_replace(text, f"[{BLANK}]+", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
-    w = F.col("_w")
-    windows = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    )
-    second = first.select(
-        *more, "doc_id", "stratum", F.size(w).cast("long").alias("n_words"), "word_chars", "n_symbols",
-        F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), windows.alias("_k"),
-    )
-    repeats = F.when(F.size(F.array_distinct("_k")) == F.size("_k"), F.lit(0).cast("long")).otherwise(_covered(F.col("_k")))
-    third = second.withColumn("n_repeat_words", repeats).drop("_k")
+    third = third.select(*(["_doc"] if carried else []), "doc_id", "stratum", "word_chars", "n_symbols", "_by_word.*", "_by_line.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return third.withColumn("base_failed", failed)
 
@@ -131,12 +126,13 @@ def judge(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
     for rule in GRIDS:
         above = above | F.coalesce(_statistic(rule) > F.col(f"_cut_{rule}"), F.lit(False))
     joined = metrics.join(cutoffs, "stratum", "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~above)
+    # one expression, not a conjunction: a filter on it is not split and moved to where the statistics would be computed anew
+    return joined.withColumn("kept", ~F.greatest(F.col("base_failed"), above))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    cutoffs = materialize(calibrate(score(docs), labels, **settings), "quality-cutoffs")
+    cutoffs = materialize(calibrate(materialize(score(docs), "quality-metrics"), labels, **settings), "quality-cutoffs")
     return judge(score(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), cutoffs).where("kept").select("_doc.*")
 
 
