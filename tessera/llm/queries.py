@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import sql
 from .line_dedup import op5_line_dedup
 from .mixing import op9_mixing
+from .order_minhash import op8_order_minhash
 from .packing import op7_packing
 from .quality_rules import op1_quality_rules
 from .simhash import op10_simhash_near_dedup
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op5_line_dedup": op5_line_dedup,
         "op7_packing": op7_packing,
+        "op8_order_minhash": op8_order_minhash,
         "op9_mixing": op9_mixing,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
