@@ -32,7 +32,7 @@ from .common import materialize, table
 
 SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 8192, 7
 #: Words a worker remembers the ids of; it forgets them all when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Pieces of whole sequences are numbered from here, those of packed groups below.
 ALONE = 1 << 60
 
@@ -43,47 +43,100 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of texts, by remembering those of words between spaces and line ends.
+class WordIds(dict):
+    """Ids of texts, by remembering those of words between spaces and line ends: word to number,
+    number to its stretch of ``flat``.
 
-    The tokenizer's own rules never join what such a blank separates; a text that may hold
-    a special token's string goes to the tokenizer whole.
+    The tokenizer's own rules never join what such a blank separates, nor a word of letters and
+    the point or comma after it; they lower-case letter by letter.  A text that may hold a
+    special token's string goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile(r"[ \n\t\r]+").split
+        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends_word[ends] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.clear()
+        self.fresh: list[str] = []
+        self.flat, self.filled = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.stops = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.fresh.append("")
+        self[""] = 0
+        self.learn()
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+    def codes(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word: all at once, parted where a token ends a word.  That holds for words of
+        letters; should the parts not be as many as the words, each word is looked at alone."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(cut) == len(words):
+            return np.split(ids, cut[:-1]) if len(words) > 1 else [ids]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self) -> None:
+        """Store the ids of the fresh words, which have the last numbers."""
+        fresh, self.fresh = self.fresh, []
+        stems = [w[:-1] if w[-1:] in (".", ",") and w[:-1].isalpha() else w for w in fresh]
+        letters = list({w: None for w in stems if w.isalpha()})
+        others = list({w: None for w in stems if not w.isalpha()})
+        known = {}
+        for s in range(0, len(letters), 500):
+            known.update(zip(letters[s : s + 500], self.codes(letters[s : s + 500]), strict=True))
+        known.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+        after = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in ".,"}
+        parts = []
+        for w, stem in zip(fresh, stems, strict=True):
+            code = known[stem]
+            parts.append(np.concatenate([code, after[w[-1]]]) if len(w) > len(stem) else code)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        n, total = len(self), int(lengths.sum())
+        while n > len(self.starts):
+            self.starts, self.stops = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.stops, 2 * len(self.stops))
+        while self.filled + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        if total:
+            self.flat[self.filled : self.filled + total] = np.concatenate(parts)
+        stops = self.filled + np.cumsum(lengths)
+        self.stops[n - len(fresh) : n], self.starts[n - len(fresh) : n] = stops, stops - lengths
+        self.filled += total
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
+        if len(self) > REMEMBERED:
             self.forget()
-        parts = [None if any(s in t for s in self.special) else [w for w in self.split(t) if w] for t in texts]
-        number = self.number
-        fresh = list({w: None for p in parts if p for w in p if w not in number})
-        if fresh:
-            codes = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            for w in fresh:
-                number[w] = len(number)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for c in codes for i in c), np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(c) for c in codes])])
+        numbers = []
+        for text in texts:
+            low = text.lower() if text.isascii() else text
+            if "<|" in low and any(s in low.lower() for s in self.special):
+                numbers.append(None)
+                continue
+            words = self.split(low)
+            numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        if self.fresh:
+            self.learn()
         out = []
-        for text, part in zip(texts, parts, strict=True):
-            if part is None:
+        for text, n in zip(texts, numbers, strict=True):
+            if n is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            n = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
-            lengths = self.starts[n + 1] - self.starts[n]
+            starts = self.starts[n]
+            lengths = self.stops[n] - starts
             ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[n] - (ends - lengths), lengths)] if total else np.zeros(0, np.uint32))
+            shift = np.repeat(starts - (ends - lengths), lengths)
+            shift += np.arange(len(shift))
+            out.append(self.flat[shift])
         return out
 
 

@@ -8,12 +8,14 @@ from .mixing import op9_mixing
 from .order_minhash import op8_order_minhash
 from .packing import op7_packing
 from .quality_rules import op1_quality_rules
+from .secret_scan import op3_secret_scan
 from .simhash import op10_simhash_near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_secret_scan": op3_secret_scan,
         "op5_line_dedup": op5_line_dedup,
         "op7_packing": op7_packing,
         "op8_order_minhash": op8_order_minhash,
