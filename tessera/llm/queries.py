@@ -10,12 +10,14 @@ from .packing import op7_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op3_secret_scan
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_secret_scan": op3_secret_scan,
+        "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op7_packing": op7_packing,
         "op8_order_minhash": op8_order_minhash,
