@@ -61,6 +61,7 @@ class WordIds(dict):
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_word[ends] = True
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -68,49 +69,52 @@ class WordIds(dict):
         self.fresh: list[str] = []
         self.flat, self.filled = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.stops = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.fresh.append("")
-        self[""] = 0
-        self.learn()
+        self[""] = 0  # the empty stretch
 
     def __missing__(self, word: str) -> int:
         self.fresh.append(word)
         self[word] = n = len(self)
         return n
 
-    def codes(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: all at once, parted where a token ends a word.  That holds for words of
-        letters; should the parts not be as many as the words, each word is looked at alone."""
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has: all at once, parted where a
+        token ends a word.  That holds for words of letters; should the parts not be as many as
+        the words, each word is looked at alone."""
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         cut = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(cut) == len(words):
-            return np.split(ids, cut[:-1]) if len(words) > 1 else [ids]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return (ids, np.diff(cut, prepend=0)) if len(cut) == len(words) else self.alone(words)
+
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for c in codes for i in c], np.uint32), np.array([len(c) for c in codes], np.int64)
 
     def learn(self) -> None:
         """Store the ids of the fresh words, which have the last numbers."""
         fresh, self.fresh = self.fresh, []
         stems = [w[:-1] if w[-1:] in (".", ",") and w[:-1].isalpha() else w for w in fresh]
-        letters = list({w: None for w in stems if w.isalpha()})
-        others = list({w: None for w in stems if not w.isalpha()})
-        known = {}
-        for s in range(0, len(letters), 500):
-            known.update(zip(letters[s : s + 500], self.codes(letters[s : s + 500]), strict=True))
-        known.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
-        after = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in ".,"}
-        parts = []
-        for w, stem in zip(fresh, stems, strict=True):
-            code = known[stem]
-            parts.append(np.concatenate([code, after[w[-1]]]) if len(w) > len(stem) else code)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = {w: None for w in stems}
+        letters, others = [w for w in order if w.isalpha()], [w for w in order if not w.isalpha()]
+        place = {w: i for i, w in enumerate(letters + others)}
+        parts = [self.codes(letters[s : s + 1000]) for s in range(0, len(letters), 1000)]
+        if others:
+            parts.append(self.alone(others))
+        known, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        at = np.fromiter(map(place.__getitem__, stems), np.int64, len(stems))
+        pointed = np.fromiter((len(w) - len(s) for w, s in zip(fresh, stems, strict=True)), np.int64, len(stems))
+        stop_at = np.cumsum(counts)[at]
+        lengths = counts[at] + pointed
         n, total = len(self), int(lengths.sum())
         while n > len(self.starts):
             self.starts, self.stops = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.stops, 2 * len(self.stops))
         while self.filled + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        if total:
-            self.flat[self.filled : self.filled + total] = np.concatenate(parts)
-        stops = self.filled + np.cumsum(lengths)
-        self.stops[n - len(fresh) : n], self.starts[n - len(fresh) : n] = stops, stops - lengths
+        ends = np.cumsum(lengths)
+        source = np.repeat(stop_at + pointed - ends, lengths) + np.arange(total)
+        new = np.append(known, np.uint32(0))[source]
+        for mark, (code,) in self.marks.items():
+            new[ends[[i for i in np.flatnonzero(pointed) if fresh[i][-1] == mark]] - 1] = code
+        self.flat[self.filled : self.filled + total] = new
+        self.stops[n - len(fresh) : n], self.starts[n - len(fresh) : n] = self.filled + ends, self.filled + ends - lengths
         self.filled += total
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -122,7 +126,7 @@ class WordIds(dict):
             if "<|" in low and any(s in low.lower() for s in self.special):
                 numbers.append(None)
                 continue
-            words = self.split(low)
+            words = self.split(low) if "\t" in low or "\r" in low else low.replace("\n", " ").split(" ")
             numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         if self.fresh:
             self.learn()
