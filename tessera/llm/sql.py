@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import DIGITS, SEED
 from .quality_rules import ALPHA, COST, DELTA, GRIDS
+from .url_rules import CONFIDENCE, RULES, SUPPORT
 
 #: Blank characters as a regular-expression class body (space, TAB to CR).
 _B = r"\x20\x09-\x0D"
@@ -92,4 +93,38 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op1_quality_rules": _op1(), "op5_line_dedup": _OP5, "op9_mixing": _OP9}
+def _op6() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return rf"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+rules AS (SELECT * FROM (VALUES {rules}) r(name, start, verdict)),
+fits AS (
+  SELECT DISTINCT ON (host, path) host, path, name || start AS rule, verdict FROM (SELECT DISTINCT host, path FROM split) JOIN rules
+  ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) ORDER BY host, path, length(name || start) DESC),
+parts AS (
+  SELECT s.*, f.rule, f.verdict, list_reverse(list_filter(string_split(host, '.'), lambda x: x <> '')) AS labels,
+         regexp_extract(path, '^/([^/]*)/', 1) AS dir, regexp_extract(path, '\.([A-Za-z0-9]{{1,5}})$', 1) AS ending
+  FROM split s LEFT JOIN fits f USING (host, path)),
+sets AS (
+  SELECT page_id, host, path, rule, verdict, list_sort(list_distinct(list_transform(labels, lambda x, i: 'h' || i || '=' || x)
+    || list_transform(list_filter(flatten(list_transform(labels, lambda x: CASE WHEN contains(x, '-') THEN string_split(x, '-') ELSE [] END)), lambda w: w <> ''), lambda w: 'word=' || w)
+    || CASE WHEN dir <> '' THEN ['dir=' || dir] ELSE [] END || CASE WHEN ending <> '' THEN ['end=' || ending] ELSE [] END)) AS t
+  FROM parts),
+subsets AS (
+  SELECT page_id, verdict, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
+  FROM (SELECT page_id, verdict, t, unnest(range(1, 1 << len(t))) AS m FROM sets)),
+n AS (SELECT count(*) AS n FROM sets WHERE verdict IS NOT NULL AND (len(t) > 0 OR verdict = 'block')),
+mined AS (
+  SELECT items FROM subsets, n WHERE verdict IS NOT NULL GROUP BY items, n
+  HAVING count(*) FILTER (WHERE verdict = 'block') >= ceil({SUPPORT} * n) AND count(*) FILTER (WHERE verdict = 'block') / count(*)::DOUBLE >= {CONFIDENCE}),
+blocked AS (SELECT DISTINCT page_id FROM subsets JOIN mined USING (items))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN page_id IN (SELECT page_id FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM sets
+"""
+
+
+_OP2 = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+ORACLES = {"op1_quality_rules": _op1(), "op2_sharding": _OP2, "op5_line_dedup": _OP5, "op6_url_rules": _op6(), "op9_mixing": _OP9}
