@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import registry, relations_q  # noqa: F401  (importing registers)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
