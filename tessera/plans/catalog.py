@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, relations_q  # noqa: F401  (importing registers)
+from . import graph_q, registry, relations_q  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:

@@ -17,8 +17,14 @@ UNION ALL SELECT CAST(1000 + s_suppkey AS BIGINT) FROM supplier
 UNION ALL SELECT CAST(10000000 + c_custkey AS BIGINT) FROM customer
 UNION ALL SELECT CAST(100000000 + o_orderkey AS BIGINT) FROM orders
 """
+#: Lines in a total order inside their order (line numbers repeat).
+LINE_ROWS = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_returnflag,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line
+FROM lineitem
+"""
 #: A multiset relation with several targets a source: an order's suppliers by line.
-LINES = "SELECT CAST(l_orderkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst, CAST(l_linenumber AS INT) AS pos FROM lineitem"
+LINES = f"SELECT CAST(l_orderkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst, line AS pos FROM ({LINE_ROWS}) l"
 #: A cyclic relation: the nations' ring, and each nation to its double.
 RING = """
 SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey + 1) % 25 AS BIGINT) AS dst, 0 AS pos FROM nation WHERE n_nationkey % 5 <> 4
@@ -34,10 +40,10 @@ SELECT anchor_id, entity, cnt, CAST(row_number() OVER (PARTITION BY anchor_id OR
 #: Each supplier's class: its nation's region; region 4 counts as "other".
 SUPPLIER_CLASS = "SELECT CAST(s_suppkey AS BIGINT) AS entity, CAST(n_regionkey AS INT) AS class_id FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 #: Mentions: an order's first three lines are its mentions, the part's brand is the anchor, the supplier the label.
-MENTIONS = """
-SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS mention_id, CAST(l_orderkey AS BIGINT) AS doc_id, CAST(l_linenumber AS BIGINT) AS step,
+MENTIONS = f"""
+SELECT CAST(l_orderkey * 10 + line AS BIGINT) AS mention_id, CAST(l_orderkey AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS step,
        CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS anchor_id, CAST(l_suppkey AS BIGINT) AS label
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3
+FROM ({LINE_ROWS}) l JOIN part ON l_partkey = p_partkey WHERE line <= 3
 """
 #: Sparse attributes of orders: absent where the key does not divide.
 ATTRIBUTES = """

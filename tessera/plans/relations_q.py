@@ -44,9 +44,9 @@ def _(t):
     return R.padded_gather(nodes, t.sql(I.LINES)).select("idx", F.to_json("dsts").alias("dsts"))
 
 
-@query("prj_last_non_negative", f"WITH g AS (SELECT l_orderkey AS idx, list(CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_suppkey AS BIGINT) ELSE -1 END ORDER BY l_linenumber) AS d FROM lineitem GROUP BY 1) SELECT idx, coalesce(list_filter(d, lambda x: x >= 0)[-1], -1) AS last FROM g")
+@query("prj_last_non_negative", f"WITH g AS (SELECT l_orderkey AS idx, list(CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_suppkey AS BIGINT) ELSE -1 END ORDER BY line) AS d FROM ({I.LINE_ROWS}) GROUP BY 1) SELECT idx, coalesce(list_filter(d, lambda x: x >= 0)[-1], -1) AS last FROM g")
 def _(t):
-    masked = t.lineitem.select(F.col("l_orderkey").alias("src"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey")).otherwise(F.lit(-1)).cast("long").alias("dst"), F.col("l_linenumber").alias("pos"))
+    masked = t.sql(I.LINE_ROWS).select(F.col("l_orderkey").alias("src"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_suppkey")).otherwise(F.lit(-1)).cast("long").alias("dst"), F.col("line").alias("pos"))
     return R.nest(masked).select(F.col("src").alias("idx"), R.last_non_negative(F.col("dsts")).alias("last"))
 
 
@@ -71,7 +71,7 @@ def _(t):
     return R.values_mask(t.sql(I.LINES), t.sql("SELECT o_orderkey AS idx FROM orders WHERE o_orderkey % 2 = 0"))
 
 
-MASKED = "SELECT CAST(l_orderkey AS BIGINT) AS src, CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE CAST(l_suppkey AS BIGINT) END AS dst, CAST(l_linenumber AS INT) AS pos FROM lineitem"
+MASKED = f"SELECT CAST(l_orderkey AS BIGINT) AS src, CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE CAST(l_suppkey AS BIGINT) END AS dst, line AS pos FROM ({I.LINE_ROWS}) l"
 
 
 @query("flt_remove_negatives", f"WITH e AS ({MASKED}) SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY pos) - 1 AS INT) AS pos FROM e WHERE dst >= 0")
@@ -159,7 +159,7 @@ def _(t):
     return R.dense(t.sql(I.BIRTH), t.sql(I.ORDER_IDS))
 
 
-@query("snk_sparse_attr", "SELECT l_orderkey AS entity, arg_min(l_suppkey, l_linenumber) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+@query("snk_sparse_attr", f"SELECT l_orderkey AS entity, arg_min(l_suppkey, line) AS value FROM ({I.LINE_ROWS}) WHERE l_returnflag = 'R' GROUP BY 1")
 def _(t):
-    lists = R.nest(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("pos")))
+    lists = R.nest(t.sql(I.LINE_ROWS).where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("line").alias("pos")))
     return R.first_value(lists.select(F.col("src").alias("entity"), F.col("dsts").alias("values")))
