@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words of anchors, for all languages and by wiki.
@@ -92,34 +92,55 @@ def clean_title(s: Column) -> Column:
     return F.translate(F.substring_index(upper_first(s), "#", 1), "_", " ")
 
 
+def _strip(s: Column) -> Column:
+    return F.btrim(s, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def _before_last_bar(s: Column) -> Column:
     return F.regexp_replace(s, r"(?s)\|[^|]*\z", "")
 
 
+def _target(m: Column) -> Column:
+    """A link's target: as it is, or of a piped link the part before the last bar, cut at ``#``."""
+    return F.when(F.contains(m, F.lit("|")), F.substring_index(_strip(_before_last_bar(m)), "#", 1)).otherwise(m)
+
+
+def _links(text: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _strip)
+
+
 def categories(text: Column) -> Column:
-    """Array of category links; of a piped one the part before the last bar, cut at ``#``."""
-    found = F.regexp_extract_all(text, F.lit(r"\[\[((?:" + "|".join(CATEGORY_PREFIXES) + r")[^\]\[]*)\]\]"), F.lit(1))
-    one = lambda m: F.when(F.contains(m, F.lit("|")), F.substring_index(F.trim(_before_last_bar(m)), "#", 1)).otherwise(F.trim(m))
-    return F.filter(F.transform(found, lambda m: one(F.trim(m))), lambda x: x != "")
+    """Array of category links."""
+    found = _links(text, r"\[\[((?:" + "|".join(CATEGORY_PREFIXES) + r")[^\]\[]*)\]\]")
+    return F.filter(F.transform(found, _target), lambda x: x != "")
 
 
 def redirects(text: Column) -> Column:
-    """Array of redirect targets; pages with an ``<iframe`` have none."""
-    found = F.regexp_extract_all(text, F.lit(r"(?iu)(?:" + "|".join(map(re.escape, REDIRECT_WORDS)) + r")\s*\[\[([^\]\[]*)\]\]"), F.lit(1))
-    return F.when(F.contains(text, F.lit("<iframe")), F.array().cast("array<string>")).otherwise(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
+    """Array of redirect targets; those that hold an ``<iframe`` are left out."""
+    found = _links(text, r"(?iu)(?:" + "|".join(map(re.escape, REDIRECT_WORDS)) + r")\s*\[\[([^\]\[]*)\]\]")
+    return F.filter(F.transform(F.filter(found, lambda m: ~F.contains(m, F.lit("<iframe"))), _target), lambda x: x != "")
 
 
 def anchors(text: Column) -> Column:
     """Array of (link, anchor) of links without a colon; an unpiped link is its own anchor."""
-    found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]\[:]*)\]\]"), F.lit(1))
+    one = lambda m: F.struct(_target(m).alias("link"), _strip(F.substring_index(m, "|", -1)).alias("anchor"))
+    return F.filter(F.transform(_links(text, r"\[\[([^\]\[:]*)\]\]"), one), lambda x: (x["link"] != "") & (x["anchor"] != ""))
+
+
+def article_anchors(articles: DataFrame) -> DataFrame:
+    """(context, anchor, target): each article ``(title, text)`` without ``:`` in its title links to itself, then its links."""
+    own = articles.where(~F.contains("title", F.lit(":")))
+    links = own.select(F.col("title").alias("context"), F.inline(anchors(F.col("text")))).select("context", "anchor", F.col("link").alias("target"))
+    return own.select(F.col("title").alias("context"), F.col("title").alias("anchor"), F.col("title").alias("target")).union(links)
 
-    def one(m: Column) -> Column:
-        piped = F.contains(m, F.lit("|"))
-        link = F.when(piped, F.trim(F.substring_index(_before_last_bar(m), "#", 1))).otherwise(F.trim(m))
-        anchor = F.when(piped, F.trim(F.substring_index(m, "|", -1))).otherwise(F.trim(m))
-        return F.struct(link.alias("link"), anchor.alias("anchor"))
 
-    return F.filter(F.transform(found, one), lambda x: (x["link"] != "") & (x["anchor"] != ""))
+def spans(text: Column) -> Column:
+    """A text's stretches in order, array of (text, link): plain ones have no link."""
+    pattern = r"\[\[([^\]\[:]*)\]\]"
+    gaps = F.transform(F.split(text, pattern), lambda g: F.struct(g.alias("text"), F.lit(None).cast("string").alias("link")))
+    links = F.transform(_links(text, pattern), lambda m: F.struct(_strip(F.substring_index(m, "|", -1)).alias("text"), _target(m).alias("link")))
+    mixed = F.flatten(F.zip_with(gaps, links, lambda g, m: F.filter(F.array(g, m), lambda x: x.isNotNull())))
+    return F.filter(mixed, lambda x: (x["text"] != "") | x["link"].isNotNull())
 
 
 def plain_letters(s: Column) -> Column:

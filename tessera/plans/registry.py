@@ -27,7 +27,8 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = {m[1] for m in _FROM.findall(text)}
-        return self.spark.sql(_FROM.sub(r"\1 {\2}", text), **{n: getattr(self, n) for n in used})
+        plain = text.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(_FROM.sub(r"\1 {\2}", plain), **{n: getattr(self, n) for n in used})
 
 
 def query(name: str, sql: str | None = None):
