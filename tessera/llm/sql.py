@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .mixing import DIGITS, SEED
 from .quality_rules import ALPHA, COST, DELTA, GRIDS
-from .url_rules import CONFIDENCE, RULES, SUPPORT
+from .url_rules import CONFIDENCE, LEAST, RULES, SUPPORT
 
 #: Blank characters as a regular-expression class body (space, TAB to CR).
 _B = r"\x20\x09-\x0D"
@@ -119,7 +119,7 @@ subsets AS (
 n AS (SELECT count(*) AS n FROM sets WHERE verdict IS NOT NULL AND (len(t) > 0 OR verdict = 'block')),
 mined AS (
   SELECT items FROM subsets, n WHERE verdict IS NOT NULL GROUP BY items, n
-  HAVING count(*) FILTER (WHERE verdict = 'block') >= ceil({SUPPORT} * n) AND count(*) FILTER (WHERE verdict = 'block') / count(*)::DOUBLE >= {CONFIDENCE}),
+  HAVING count(*) FILTER (WHERE verdict = 'block') >= greatest(ceil({SUPPORT} * n), {LEAST}) AND count(*) FILTER (WHERE verdict = 'block') / count(*)::DOUBLE >= {CONFIDENCE}),
 blocked AS (SELECT DISTINCT page_id FROM subsets JOIN mined USING (items))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN page_id IN (SELECT page_id FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM sets
 """

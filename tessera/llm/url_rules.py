@@ -28,6 +28,8 @@ from .common import LOWER, UPPER, materialize, table
 #: (host, path, verdict): fits the host and its subdomains where the path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SUPPORT, CONFIDENCE = 0.01, 0.95
+#: A rule needs at least this many labelled URLs, however few there are.
+LEAST = 5
 BLOCK = "verdict=block"
 
 
@@ -60,14 +62,15 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(placed, inside, optional))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """``labelled(tokens, blocked)`` to rules (anchor, items, confidence, support), pruned; anchor is the rarest item."""
     spark = labelled.sparkSession
     baskets = materialize(labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0), "baskets")
     schema = "anchor string, items array<string>, confidence double, support double"
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < least:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, (least - 0.5) / n), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     rules = materialize(rules, "rules")
     # a rule is needless where a shorter one's tokens are among its own; parts are found by the rules' own tokens
