@@ -102,6 +102,21 @@ def list_consistent(inside: Column, own: Column, last: Column) -> Column:
     return F.when(~inside, F.lit(0)).when(F.size(F.array_intersect(own, last)) > 0, F.lit(2)).otherwise(F.lit(1))
 
 
-def rescore(candidates: DataFrame, wins: Column) -> DataFrame:
-    """``candidates(mention_id, entity, prob)`` to (mention_id, entity): the most probable of those ``wins`` holds for, else of all."""
-    return candidates.groupBy("mention_id").agg(F.max_by("entity", F.struct(F.coalesce(wins, F.lit(False)).cast("int"), "prob", -F.col("entity"))).alias("entity"))
+def recurrent_state(steps: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """``steps(doc_id, step, vec)`` to (doc_id, step, state): an LSTM cell's output before each step, weights by seed.
+    A document's steps are folded in order, documents in parallel."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        w, u, b = rng.normal(0, 0.3, (width, 4 * width)), rng.normal(0, 0.3, (width, 4 * width)), np.zeros(4 * width)
+        frame = frame.sort_values("step")
+        h, c, out = np.zeros(width), np.zeros(width), []
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+        for vec in frame["vec"]:
+            out.append(h.tolist())
+            i, f, o, g = np.split(np.asarray(vec) @ w + h @ u + b, 4)
+            c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+            h = sigmoid(o) * np.tanh(c)
+        return pd.DataFrame({"doc_id": frame["doc_id"], "step": frame["step"], "state": out})
+
+    return steps.groupBy("doc_id").applyInPandas(lambda frame: run(frame), "doc_id long, step long, state array<double>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates_q, corpus_q, graph_q, registry, relations_q, text_q  # noqa: F401  (importing registers)
+from . import candidates_q, corpus_q, graph_q, linking_q, registry, relations_q, text_q  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:

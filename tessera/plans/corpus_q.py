@@ -476,14 +476,3 @@ def _(t):
 @query("st_candidate_callable", f"SELECT doc_id, step, entity, entity % 7 = 0 AS bit FROM ({DS})")
 def _(t):
     return t.sql(DS).select("doc_id", "step", "entity", (F.col("entity") % 7 == 0).alias("bit"))
-
-
-PP = f"WITH d AS ({DS}), c AS (SELECT doc_id * 10 + step AS mention_id, entity, score AS prob FROM d)"
-
-
-def _post(t):
-    return t.sql(DS).select((F.col("doc_id") * 10 + F.col("step")).alias("mention_id"), "entity", F.col("score").alias("prob"))
-
-
-for _name, _mod in (("post_parenthesis", 4), ("post_dates", 3), ("post_nationality", 5)):
-    query(_name, f"{PP} SELECT mention_id, entity FROM c QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY entity % {_mod} = 0 DESC, prob DESC, entity) = 1")(lambda t, m=_mod: D.rescore(_post(t), F.col("entity") % m == 0))
