@@ -32,7 +32,7 @@ from .common import materialize, table
 
 SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 8192, 7
 #: Words a worker remembers the ids of; it forgets them all when there are more.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Pieces of whole sequences are numbered from here, those of packed groups below.
 ALONE = 1 << 60
 
@@ -152,20 +152,23 @@ def cuts(n: int, sequence: int = SEQUENCE) -> list[int]:
 
 def _pieces(path: str, sequence: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sys.__dict__.setdefault("_tessera_word_ids", {})  # outlives the task, as workers are used again
+        known = sys.__dict__.setdefault("_tessera_word_ids", {})  # the tokenizer outlives the task, as workers are used again
         words = known.get(path) or known.setdefault(path, WordIds(path))
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for s in range(0, len(doc_ids), 256):
-                rows = []
-                part = [t or "" for t in texts[s : s + 256].to_pylist()]
-                for doc_id, ids in zip(doc_ids[s : s + 256], words.ids(part), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for length in cuts(len(ids), sequence):
-                        rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids)))
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in batches:
+                doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+                for s in range(0, len(doc_ids), 256):
+                    rows = []
+                    part = [t or "" for t in texts[s : s + 256].to_pylist()]
+                    for doc_id, ids in zip(doc_ids[s : s + 256], words.ids(part), strict=True):
+                        ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                        start = 0
+                        for length in cuts(len(ids), sequence):
+                            rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids)))
+                            start += length
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            words.forget()  # an idle worker holds no words
 
     return run
 
