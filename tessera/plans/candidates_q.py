@@ -42,17 +42,17 @@ def _duped(t):
     return t.sql(I.CANDIDATES).select("anchor_id", F.when(F.col("entity") % 13 == 0, F.lit(-1)).otherwise(F.expr("entity div 3")).cast("long").alias("entity"), "cnt", "pos")
 
 
-@query("agg_reduce_values", f"WITH d AS ({DUPED}), g AS (SELECT anchor_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt, min(pos) AS f FROM d WHERE entity >= 0 GROUP BY 1, 2) SELECT anchor_id, entity, cnt, row_number() OVER (PARTITION BY anchor_id ORDER BY f) - 1 AS pos FROM g")
+@query("agg_reduce_values", f"WITH d AS ({DUPED}), g AS (SELECT anchor_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt, min(pos) AS f FROM d WHERE entity >= 0 GROUP BY 1, 2) SELECT anchor_id, entity, cnt, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY f) - 1 AS INT) AS pos FROM g")
 def _(t):
     return C.reduce_values(_duped(t))[0]
 
 
-@query("agg_reduce_positions", f"WITH d AS ({DUPED}), g AS (SELECT anchor_id, entity, min(pos) AS f FROM d WHERE entity >= 0 GROUP BY 1, 2), n AS (SELECT anchor_id, entity, row_number() OVER (PARTITION BY anchor_id ORDER BY f) - 1 AS p FROM g) SELECT anchor_id, pos AS old_pos, coalesce(p, -1) AS new_pos FROM d LEFT JOIN n USING (anchor_id, entity)")
+@query("agg_reduce_positions", f"WITH d AS ({DUPED}), g AS (SELECT anchor_id, entity, min(pos) AS f FROM d WHERE entity >= 0 GROUP BY 1, 2), n AS (SELECT anchor_id, entity, row_number() OVER (PARTITION BY anchor_id ORDER BY f) - 1 AS p FROM g) SELECT anchor_id, pos AS old_pos, CAST(coalesce(p, -1) AS INT) AS new_pos FROM d LEFT JOIN n USING (anchor_id, entity)")
 def _(t):
     return C.reduce_values(_duped(t))[1]
 
 
-@query("agg_reduce_index", f"WITH d AS ({DUPED}) SELECT anchor_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt, row_number() OVER (PARTITION BY anchor_id ORDER BY entity) - 1 AS pos FROM d GROUP BY 1, 2")
+@query("agg_reduce_index", f"WITH d AS ({DUPED}) SELECT anchor_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY entity) - 1 AS INT) AS pos FROM d GROUP BY 1, 2")
 def _(t):
     return C.reduce_index(_duped(t), "anchor_id")
 

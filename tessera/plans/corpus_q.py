@@ -259,7 +259,7 @@ def _(t):
     return W.propagate(t.sql(I.STEPS).withColumn("flag", F.col("token") == "purchase"), "flag").select("doc_id", "pos", "flag")
 
 
-LISTS = "SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN ',' WHEN 1 THEN 'and' WHEN 2 THEN ',' END AS joiner, event_id % 2 AS a, event_id % 3 AS b FROM events"
+LISTS = "SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS pos, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN ',' WHEN 1 THEN 'and' WHEN 2 THEN ',' END AS joiner, event_id % 2 AS a, event_id % 3 AS b FROM events"
 
 
 @query("win_lists", f"""WITH t AS ({LISTS}), f AS (SELECT *, coalesce(joiner IN (',', 'and'), false) AS linked, coalesce(lag(joiner) OVER (PARTITION BY doc_id ORDER BY pos) = 'and', false) AS after_end FROM t),
@@ -380,7 +380,7 @@ def _lists(t):
     return nest(t.sql(I.LINES)).select("src", F.col("dsts").alias("d"))
 
 
-@query("arr_pad", f"SELECT src, to_json(list_resize(d, 4, -1)) AS d FROM ({LIST})")
+@query("arr_pad", f"SELECT src, CAST(to_json(list_resize(d, 4, -1)) AS VARCHAR) AS d FROM ({LIST})")
 def _(t):
     return _lists(t).select("src", F.to_json(M.pad(F.col("d"), 4, -1)).alias("d"))
 
@@ -395,7 +395,7 @@ def _(t):
     return M.segment_ids(t.nation.select(F.col("n_nationkey").alias("row"), (F.col("n_nationkey") % 4).alias("length"))).select("segment", F.col("pos").cast("long").alias("pos"))
 
 
-@query("arr_gather_scatter", f"SELECT src, to_json([d[1], NULL, d[3]]) AS gathered, to_json([d[2], NULL, d[1]]) AS scattered FROM ({LIST}) WHERE len(d) >= 2")
+@query("arr_gather_scatter", f"SELECT src, CAST(to_json([d[1], NULL, d[3]]) AS VARCHAR) AS gathered, CAST(to_json([d[2], NULL, d[1]]) AS VARCHAR) AS scattered FROM ({LIST}) WHERE len(d) >= 2")
 def _(t):
     rows = _lists(t).where(F.size("d") >= 2)
     keep = {"ignoreNullFields": "false"}

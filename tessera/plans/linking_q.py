@@ -214,7 +214,7 @@ def _(t):
     return t.spark.createDataFrame([(k, str(v)) for k, v in found.items()], "key string, value string")
 
 
-@query("arr_extend", f"SELECT src, to_json(d || [-1]) AS d FROM (SELECT src, list(dst ORDER BY pos) AS d FROM ({I.LINES}) GROUP BY 1)")
+@query("arr_extend", f"SELECT src, CAST(to_json(d || [-1]) AS VARCHAR) AS d FROM (SELECT src, list(dst ORDER BY pos) AS d FROM ({I.LINES}) GROUP BY 1)")
 def _(t):
     from tessera.operators.relations import nest
 

@@ -27,18 +27,18 @@ def _(t):
     return R.is_empty(t.sql(I.EDGES), t.sql(I.ENTITIES))
 
 
-@query("prj_csr_build", f"{L} SELECT src, to_json(list(dst ORDER BY pos)) AS dsts FROM e GROUP BY src")
+@query("prj_csr_build", f"{L} SELECT src, CAST(to_json(list(dst ORDER BY pos)) AS VARCHAR) AS dsts FROM e GROUP BY src")
 def _(t):
     return R.nest(t.sql(I.LINES)).select("src", F.to_json("dsts").alias("dsts"))
 
 
-@query("prj_gather", f"{L} SELECT idx, to_json(coalesce(list(dst ORDER BY pos) FILTER (WHERE dst IS NOT NULL), [])) AS dsts FROM (SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders WHERE o_orderkey % 3 = 0) LEFT JOIN e ON idx = src GROUP BY idx")
+@query("prj_gather", f"{L} SELECT idx, CAST(to_json(coalesce(list(dst ORDER BY pos) FILTER (WHERE dst IS NOT NULL), [])) AS VARCHAR) AS dsts FROM (SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders WHERE o_orderkey % 3 = 0) LEFT JOIN e ON idx = src GROUP BY idx")
 def _(t):
     nodes = t.sql("SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders WHERE o_orderkey % 3 = 0")
     return R.gather(nodes, t.sql(I.LINES)).select("idx", F.to_json("dsts").alias("dsts"))
 
 
-@query("prj_padded_gather", f"{L}, g AS (SELECT idx, coalesce(list(dst ORDER BY pos) FILTER (WHERE dst IS NOT NULL), []) AS d FROM (SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders UNION ALL SELECT -1) LEFT JOIN e ON idx = src GROUP BY idx) SELECT idx, to_json(list_resize(d, (SELECT max(len(d)) FROM g), -1)) AS dsts FROM g")
+@query("prj_padded_gather", f"{L}, g AS (SELECT idx, coalesce(list(dst ORDER BY pos) FILTER (WHERE dst IS NOT NULL), []) AS d FROM (SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders UNION ALL SELECT -1) LEFT JOIN e ON idx = src GROUP BY idx) SELECT idx, CAST(to_json(list_resize(d, (SELECT max(len(d)) FROM g), -1)) AS VARCHAR) AS dsts FROM g")
 def _(t):
     nodes = t.sql("SELECT CAST(o_orderkey AS BIGINT) AS idx FROM orders UNION ALL SELECT CAST(-1 AS BIGINT)")
     return R.padded_gather(nodes, t.sql(I.LINES)).select("idx", F.to_json("dsts").alias("dsts"))

@@ -232,25 +232,25 @@ def _kg(t):
     return S.kg_json(t.spark, _text(t, opened.union(lines.coalesce(1)), "kg.json"))
 
 
-@query("src_kg_json", "SELECT n_nationkey AS idx, 'Q' || CAST(n_nationkey AS VARCHAR) AS id FROM nation")
+@query("src_kg_json", "SELECT CAST(n_nationkey AS BIGINT) AS idx, 'Q' || CAST(n_nationkey AS VARCHAR) AS id FROM nation")
 def _(t):
     return _kg(t).select("idx", "id")
 
 
-query("prj_dense_index", "SELECT n_nationkey AS idx, 'Q' || CAST(n_nationkey AS VARCHAR) AS id FROM nation")(lambda t: _kg(t).select("idx", "id"))
+query("prj_dense_index", "SELECT CAST(n_nationkey AS BIGINT) AS idx, 'Q' || CAST(n_nationkey AS VARCHAR) AS id FROM nation")(lambda t: _kg(t).select("idx", "id"))
 
 
-@query("prj_claim_field", "SELECT 'P17' AS prop, n_nationkey AS src, 'Q' || CAST(100 + n_regionkey AS VARCHAR) AS qid, 0 AS pos FROM nation")
+@query("prj_claim_field", "SELECT 'P17' AS prop, CAST(n_nationkey AS BIGINT) AS src, 'Q' || CAST(100 + n_regionkey AS VARCHAR) AS qid, 0 AS pos FROM nation")
 def _(t):
     return S.claim_edges(_kg(t), ["P17", "P31"])
 
 
-@query("prj_claim_getters", "SELECT n_nationkey AS idx, 1810 + n_nationkey AS year FROM nation")
+@query("prj_claim_getters", "SELECT CAST(n_nationkey AS BIGINT) AS idx, 1810 + n_nationkey AS year FROM nation")
 def _(t):
     return S.claim_values(_kg(t), "P569", "time", first_only=True).select("idx", T.parse_year(F.get("values", F.lit(0))).cast("int").alias("year"))
 
 
-@query("prj_sitelinks", "SELECT 'enwiki' AS wiki, n_name AS title, n_nationkey AS idx FROM nation")
+@query("prj_sitelinks", "SELECT 'enwiki' AS wiki, n_name AS title, CAST(n_nationkey AS BIGINT) AS idx FROM nation")
 def _(t):
     return S.sitelinks(_kg(t))
 
