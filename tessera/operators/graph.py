@@ -8,12 +8,12 @@ them; a bad node is never entered, though a seed that is bad is still expanded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.storage import materialize
 
-from . import relations
+from . import aggregates, relations
 
 
 def blacklist(names: DataFrame, entities: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def neighborhood(edges: DataFrame, roots: DataFrame, max_steps: int, dictionary:
 
 def dictionary_positions(dictionary: DataFrame) -> DataFrame:
     """(idx, code): dense positions of the dictionary's ids in rising order."""
-    return dictionary.select("idx", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("code"))
+    return aggregates.recode(dictionary, dictionary.select("idx").distinct())
 
 
 def codes_to_ids(found: DataFrame, dictionary: DataFrame) -> DataFrame:

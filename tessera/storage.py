@@ -20,13 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder; removed when the driver ends."""
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends
+    there, so neither a lost executor nor a second use computes ``df`` again."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
