@@ -36,8 +36,12 @@ BAD_TITLES = ("Wikipedia:", "Wikipédia:", "File:", "Media:", "Help:", "User:")
 CATEGORY_PREFIXES = ("Category:", "Catégorie:", "Categorie:", "Categoría:", "Categoria:", "Kategorie:", "Kategoria:", "Категория:", "Kategori:")
 REDIRECT_WORDS = ("#REDIRECT", "#weiterleitung", "#REDIRECCIÓN", "REDIRECIONAMENTO")
 # Letters replaced by plain ones.
-PLAIN_FROM = "àéêëûüÄÀÂÃÅÉÈÊÔô ðóáí£¥€–"
-PLAIN_TO = "aeeeuuAAAAAEEEOo ooaiLYE-"
+PLAIN_LETTERS = {
+    "à": "a", "é": "e", "ê": "e", "ë": "e", "û": "u", "ü": "u", "Ä": "A", "À": "A", "Â": "A", "Ã": "A", "Å": "A", "É": "E", "È": "E",
+    "Ê": "E", "Ô": "O", "ô": "o", "\xa0": " ", "ð": "o", "ó": "o", "á": "a", "í": "i", "i̇": "i", "£": "L", "¥": "Y", "€": "E", "–": "-",
+}
+PLAIN_FROM = "".join(k for k in PLAIN_LETTERS if len(k) == 1)
+PLAIN_TO = "".join(v for k, v in PLAIN_LETTERS.items() if len(k) == 1)
 # Languages whose wikis have a prefix.
 LANGUAGES = (
     "en zh fr ja ru pt ca fa ar fi hu id es it war ceb nl de sv ro cs ko sr ms tr min eo eu kk da bg sk hy he lt sl et uz gl nn"
