@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (as in tests), a folder of our own."""
+    """``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster, and a folder of our own in local mode (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        found = spark.conf.get("spark.sql.warehouse.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tessera-shared-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
