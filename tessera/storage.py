@@ -9,15 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
-
-
 _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster, and a folder of our own in local mode (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         found = spark.conf.get("spark.sql.warehouse.dir")
     if not found:
         if not _own:
