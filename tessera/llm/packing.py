@@ -18,9 +18,11 @@ documents of their own; empty tables give empty results; further columns are not
 from __future__ import annotations
 
 import re
+import string
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,9 @@ from .common import materialize, table
 SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 8192, 7
 #: Words a worker remembers the ids of; it forgets them all when there are more.
 REMEMBERED = 500_000
+#: Of those, the first so many stay when a worker forgets (and between tasks).
+KEPT = 50_000
+SIGNS = string.punctuation
 #: Pieces of whole sequences are numbered from here, those of packed groups below.
 ALONE = 1 << 60
 
@@ -48,7 +53,7 @@ class WordIds(dict):
     number to its stretch of ``flat``.
 
     The tokenizer's own rules never join what such a blank separates, nor a word of letters and
-    the point or comma after it; they lower-case letter by letter.  A text that may hold a
+    the signs after it; they lower-case letter by letter.  A text that may hold a
     special token's string goes to the tokenizer whole.
     """
 
@@ -61,15 +66,21 @@ class WordIds(dict):
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_word[ends] = True
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.tails: dict[str, np.ndarray] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Drop all words but the first KEPT: the common ones come first."""
+        kept = dict(islice(self.items(), KEPT)) or {"": 0}  # the empty word has no ids
+        n = len(kept)
+        starts, stops = (self.starts[:n].copy(), self.stops[:n].copy()) if n > 1 else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+        flat = self.flat[: int(stops.max())].copy() if n > 1 else np.zeros(0, np.uint32)
         self.clear()
+        self.update(kept)
         self.fresh: list[str] = []
-        self.flat, self.filled = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.stops = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self[""] = 0  # the empty stretch
+        self.filled = len(flat)
+        self.flat, self.starts, self.stops = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.flat[: len(flat)], self.starts[:n], self.stops[:n] = flat, starts, stops
 
     def __missing__(self, word: str) -> int:
         self.fresh.append(word)
@@ -80,7 +91,7 @@ class WordIds(dict):
         """Ids of the words one after another, and how many each has: all at once, parted where a
         token ends a word.  That holds for words of letters; should the parts not be as many as
         the words, each word is looked at alone."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         cut = np.flatnonzero(self.ends_word[ids]) + 1
         return (ids, np.diff(cut, prepend=0)) if len(cut) == len(words) else self.alone(words)
 
@@ -91,7 +102,8 @@ class WordIds(dict):
     def learn(self) -> None:
         """Store the ids of the fresh words, which have the last numbers."""
         fresh, self.fresh = self.fresh, []
-        stems = [w[:-1] if w[-1:] in (".", ",") and w[:-1].isalpha() else w for w in fresh]
+        # a word of letters and the ASCII signs after it are looked up apart
+        stems = [m if len(m := w.rstrip(SIGNS)) < len(w) and m.isalpha() else w for w in fresh]
         order = {w: None for w in stems}
         letters, others = [w for w in order if w.isalpha()], [w for w in order if not w.isalpha()]
         place = {w: i for i, w in enumerate(letters + others)}
@@ -100,7 +112,11 @@ class WordIds(dict):
             parts.append(self.alone(others))
         known, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         at = np.fromiter(map(place.__getitem__, stems), np.int64, len(stems))
-        pointed = np.fromiter((len(w) - len(s) for w, s in zip(fresh, stems, strict=True)), np.int64, len(stems))
+        tails = [w[len(m) :] for w, m in zip(fresh, stems, strict=True)]
+        for tail in set(tails) - self.tails.keys():
+            self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids if tail else [], np.uint32)
+        ended = [self.tails[x] for x in tails]
+        pointed = np.fromiter(map(len, ended), np.int64, len(ended))
         stop_at = np.cumsum(counts)[at]
         lengths = counts[at] + pointed
         n, total = len(self), int(lengths.sum())
@@ -110,9 +126,10 @@ class WordIds(dict):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         ends = np.cumsum(lengths)
         source = np.repeat(stop_at + pointed - ends, lengths) + np.arange(total)
-        new = np.append(known, np.uint32(0))[source]
-        for mark, (code,) in self.marks.items():
-            new[ends[[i for i in np.flatnonzero(pointed) if fresh[i][-1] == mark]] - 1] = code
+        own = np.arange(total) < np.repeat(ends - pointed, lengths)
+        new = np.empty(total, np.uint32)
+        new[own] = known[source[own]]
+        new[~own] = np.concatenate([x for x in ended if len(x)]) if not own.all() else []
         self.flat[self.filled : self.filled + total] = new
         self.stops[n - len(fresh) : n], self.starts[n - len(fresh) : n] = self.filled + ends, self.filled + ends - lengths
         self.filled += total
@@ -168,7 +185,7 @@ def _pieces(path: str, sequence: int, end_id: int):
                             start += length
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         finally:
-            words.forget()  # an idle worker holds no words
+            words.forget()  # an idle worker holds few words
 
     return run
 
