@@ -204,15 +204,21 @@ def rank_topk(mentions: DataFrame, candidates: DataFrame, oracles: list[dict], k
     some = F.lit(not oracles)
     for i, o in enumerate(oracles):
         some = some | (F.col(f"_c{i}") != o["other"])
-    rows = mentions.select("mention_id", "anchor_id").join(c.where(some), "anchor_id")
-    logit = (1 - beta) + beta * F.col("link_prob")
+    # Within an anchor and a tuple of classes the logit rises with link_prob alone, so only the k best of each can be
+    # among a mention's k best (the k lowest ids matter too, where a factor of 0 makes all equal); the rest count in a sum.
+    keys = ["anchor_id", *[f"_c{i}" for i in range(len(oracles))]]
+    alike = Window.partitionBy(*keys)
+    c = c.where(some).withColumn("_base", (1 - beta) + beta * F.col("link_prob"))
+    c = c.withColumns({"_first": F.row_number().over(alike.orderBy(F.desc("_base"), "entity")), "_low": F.row_number().over(alike.orderBy("entity")), "_sum": F.sum("_base").over(alike)})
+    rows = mentions.select("mention_id", "anchor_id").join(c.where((F.col("_first") <= k) | (F.col("_low") <= k)), "anchor_id")
+    factor = F.lit(1.0)
     for i, (o, a) in enumerate(zip(oracles, alphas, strict=True)):
         rows = rows.join(o["probs"].select("mention_id", F.col("class_id").alias(f"_c{i}"), F.col("p").alias(f"_p{i}")), ["mention_id", f"_c{i}"], "left")
         key = F.when(F.col(f"_c{i}") == o["other"], F.lit(1.0)).otherwise(F.greatest(F.coalesce(f"_p{i}", F.lit(0.0)), F.lit(0.0)))
-        logit = logit * (a + (1 - a) * key)
-    rows = rows.withColumn("logit", logit)
+        factor = factor * (a + (1 - a) * key)
+    rows = rows.withColumns({"logit": F.col("_base") * factor, "_all": F.when(F.col("_first") == 1, F.col("_sum") * factor)})
     own = Window.partitionBy("mention_id")
-    ranked = rows.withColumn("prob", F.col("logit") / F.sum("logit").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("logit"), "entity")))
+    ranked = rows.withColumn("prob", F.col("logit") / F.sum("_all").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("logit"), "entity")))
     return ranked.where(F.col("rank") <= k).select("mention_id", "entity", "rank", "logit", "prob")
 
 
