@@ -186,8 +186,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) -> list:
-    """At most ``most`` rows of each class (text, label, lang) of the given folds: the bounded sample."""
+def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
+    """Labels, languages and codes of at most ``most`` rows of each class of the given folds: the bounded sample."""
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & fold(F.col("_id")).isin(folds))
     marks = marks.groupBy("_id").agg(F.max("_y").alias("_y"))
     # the ids are chosen before any text is read
@@ -198,25 +198,27 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) ->
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     # at most 2 * most rows: a proven bound for the broadcast
     rows = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "lang", tokens(F.col("text")).alias("codes"))
-    return rows.where(F.size("codes") <= MOST_WORDS).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    found = rows.where(F.size("codes") <= MOST_WORDS).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    lists = found["codes"].combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return np.array(found["_y"].to_pylist(), np.float32), found["lang"].to_pylist(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, dict[str, float]]:
     """The network, and each language's threshold of best F1 on the calibration fold."""
-    rows = labelled(docs, labels, [2, 3, 4], MOST_ROWS)
-    y = np.array([r["_y"] for r in rows], np.float32)
+    y, _, codes = labelled(docs, labels, [2, 3, 4], MOST_ROWS)
     if len(set(y.tolist())) < 2:
         return None, {}
-    net = fit([np.array(r["codes"], np.int64) for r in rows], y)
-    held = [r for r in labelled(docs, labels, [1], MOST_ROWS // 2)]
-    if not held:
+    net = fit(codes, y)
+    marks, langs, codes = labelled(docs, labels, [1], MOST_ROWS // 2)
+    if not codes:
         return net, {}
-    codes = [np.array(r["codes"], np.int64) for r in held]
     scores = net.score(pool(net, np.concatenate(codes), np.r_[0, np.cumsum([len(c) for c in codes])]))
     thresholds = {}
-    for lang in {r["lang"] for r in held}:
-        own = np.array([r["lang"] == lang for r in held])
-        s, t = scores[own], np.array([r["_y"] for r in held])[own]
+    for lang in set(langs):
+        own = np.array([x == lang for x in langs])
+        s, t = scores[own], marks[own]
         f1 = lambda c: 2 * (t[s >= c]).sum() / max(1, (s >= c).sum() + t.sum())  # noqa: E731, B023
         thresholds[lang] = max((k / 20 for k in range(1, 20)), key=lambda c: (f1(c), -abs(c - 0.5)))
     return net, thresholds

@@ -51,5 +51,6 @@ def test_edge_cases(spark):
     rows = T.score(odd, *model).collect()
     assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
     assert T.score(docs.where("false"), *model).count() == 0
+    assert T.train(docs.where("false"), labels) == (None, {}) == T.train(docs, labels.where("false"))
     none = T.score(odd, *T.train(docs, labels.where("toxic = 0"))).collect()
     assert all(r.score == 0.5 and not r.toxic for r in none)
