@@ -211,11 +211,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component; of repeated rows one stays.
+    return firsts(docs, near_duplicates(docs, shingle))
+
+
+def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component in ``found``; of repeated rows one stays.
 
     Rows without doc_id stay only where their component has no doc_id at all.
     """
-    found = near_duplicates(docs, shingle)
     # a component is named by its root fingerprint's smallest doc_id; those without ids are told apart by their fingerprint
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.lit(1).alias("_one"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_h"))
