@@ -5,8 +5,8 @@ of several widths slide over the text; each filter's largest response (max pooli
 feature of a logistic output.  Training takes a bounded sample of labelled rows: at most
 ``MOST_ROWS`` of each class, those with the smallest hash of the doc_id, of at most
 ``MOST_WORDS`` words each.  Held-out rows (crc32 of the doc_id as text, mod 5, is 0) are
-never looked at.  One further fifth calibrates a threshold for each language; scores
-never depend on the language.
+never looked at.  All labelled rows of one further fifth, texts of any length, calibrate a
+threshold for each language; scores never depend on the language.
 
 Words, hashes and lists of numbers are made by Spark functions; numpy sees flat arrays.
 Texts are scored whole, in steps of bounded size, as maxima join up.
@@ -34,7 +34,7 @@ WORD_BUCKETS, STEM_BUCKETS, STEMS = 1 << 16, 1 << 13, (4, 6)
 FIRST = STEM_BUCKETS ** len(STEMS)
 DIMENSIONS, WIDTHS, FILTERS = 16, (1, 2, 3), 16
 MOST_ROWS, MOST_WORDS, EPOCHS, BATCH, RATE, SEED = 2500, 5000, 8, 32, 0.08, 11
-FOLDS = 5
+FOLDS, STEPS = 5, 20
 STEP = 1 << 15
 PAD = max(WIDTHS) - 1
 
@@ -188,8 +188,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) -> tuple[np.ndarray, list[str], list[np.ndarray]]:
     """Labels, languages and codes of at most ``most`` rows of each class of the given folds: the bounded sample."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & fold(F.col("_id")).isin(folds))
-    marks = marks.groupBy("_id").agg(F.max("_y").alias("_y"))
+    marks = marked(labels, folds)
     # the ids are chosen before any text is read
     chosen = None
     for y in (0, 1):
@@ -205,23 +204,34 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) ->
     return np.array(found["_y"].to_pylist(), np.float32), found["lang"].to_pylist(), [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def marked(labels: DataFrame, folds: list[int]) -> DataFrame:
+    """(_id, _y) of the given folds."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & fold(F.col("_id")).isin(folds))
+    return marks.groupBy("_id").agg(F.max("_y").alias("_y"))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, net: Network) -> dict[str, float]:
+    """Each language's threshold of best F1 over all labelled rows of fold 1."""
+    scored = score(docs.where(fold(F.col("doc_id").cast("long")) == 1), net, {})
+    step = sum((F.col("score") >= k / STEPS).cast("int") for k in range(1, STEPS))
+    found = scored.join(marked(labels, [1]), F.col("doc_id") == F.col("_id")).groupBy("lang", step.alias("step"), "_y").count().collect()  # 2 * STEPS rows a language
+    counts: dict[str, np.ndarray] = {}
+    for r in found:
+        counts.setdefault(r["lang"], np.zeros((STEPS, 2), np.int64))[r["step"], r["_y"]] = r["count"]
+    thresholds = {}
+    for lang, n in counts.items():
+        f1 = lambda k: 2 * n[k:, 1].sum() / max(1, n[k:].sum() + n[:, 1].sum())  # noqa: E731, B023
+        thresholds[lang] = max(range(1, STEPS), key=lambda k: (f1(k), -abs(k / STEPS - 0.5))) / STEPS
+    return thresholds
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, dict[str, float]]:
     """The network, and each language's threshold of best F1 on the calibration fold."""
     y, _, codes = labelled(docs, labels, [2, 3, 4], MOST_ROWS)
     if len(set(y.tolist())) < 2:
         return None, {}
     net = fit(codes, y)
-    marks, langs, codes = labelled(docs, labels, [1], MOST_ROWS // 2)
-    if not codes:
-        return net, {}
-    scores = net.score(pool(net, np.concatenate(codes), np.r_[0, np.cumsum([len(c) for c in codes])]))
-    thresholds = {}
-    for lang in set(langs):
-        own = np.array([x == lang for x in langs])
-        s, t = scores[own], marks[own]
-        f1 = lambda c: 2 * (t[s >= c]).sum() / max(1, (s >= c).sum() + t.sum())  # noqa: E731, B023
-        thresholds[lang] = max((k / 20 for k in range(1, 20)), key=lambda c: (f1(c), -abs(c - 0.5)))
-    return net, thresholds
+    return net, calibrate(docs, labels, net)
 
 
 def _scored(model):

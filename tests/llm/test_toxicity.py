@@ -54,3 +54,21 @@ def test_edge_cases(spark):
     assert T.train(docs.where("false"), labels) == (None, {}) == T.train(docs, labels.where("false"))
     none = T.score(odd, *T.train(docs, labels.where("toxic = 0"))).collect()
     assert all(r.score == 0.5 and not r.toxic for r in none)
+
+
+def test_thresholds_come_from_all_calibration_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "MOST_ROWS", 200)
+    docs, labels = _data(spark)
+    # a language that only texts over MOST_WORDS are written in
+    long = spark.range(2000, 2040).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("bran "), 6000)).otherwise(F.concat(F.repeat(F.lit("bran "), 6000), F.lit("snarkfish"))).alias("text"), F.lit("zz").alias("lang"))
+    docs = docs.unionByName(long)
+    labels = labels.unionByName(long.select("doc_id", F.lit(1).cast("long").alias("quality"), (F.col("doc_id") % 2).alias("toxic")))
+    net, thresholds = T.train(docs, labels)
+    rows = T.score(docs, net, {}).join(labels, "doc_id").where(T.fold(F.col("doc_id")) == 1).select("lang", "score", labels["toxic"].alias("y")).collect()
+    assert len(rows) > 250
+    want = {}
+    for lang in {r.lang for r in rows}:
+        own = [(r.score, r.y) for r in rows if r.lang == lang]
+        f1 = lambda c: 2 * sum(y for s, y in own if s >= c) / max(1, sum(s >= c for s, _ in own) + sum(y for _, y in own))  # noqa: E731, B023
+        want[lang] = max((k / 20 for k in range(1, 20)), key=lambda c: (f1(c), -abs(c - 0.5)))
+    assert thresholds == want and set(want) == {"de", "en", "zz"}
