@@ -52,8 +52,10 @@ class WordIds(dict):
     """Ids of texts, by remembering those of words between spaces and line ends: word to number,
     number to its stretch of ``flat``.
 
-    The tokenizer's own rules never join what such a blank separates, nor a word of letters and
-    the signs after it; they lower-case letter by letter.  A text that may hold a
+    The tokenizer's own rules never join what such a blank separates, nor a letter and the signs
+    after it; they lower-case letter by letter.  Some letters end in a mark once they are
+    lower-cased or composed (such as U+0130), and a mark joins the signs after it: whether a last
+    letter parts from signs is asked of the tokenizer, once a letter.  A text that may hold a
     special token's string goes to the tokenizer whole.
     """
 
@@ -67,6 +69,7 @@ class WordIds(dict):
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_word[ends] = True
         self.tails: dict[str, np.ndarray] = {}
+        self.parts: dict[str, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -99,11 +102,18 @@ class WordIds(dict):
         codes = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for c in codes for i in c], np.uint32), np.array([len(c) for c in codes], np.int64)
 
+    def parts_from_signs(self, letter: str) -> bool:
+        """Whether the tokenizer parts a word that ends in ``letter`` from ASCII signs after it."""
+        if letter not in self.parts:
+            alone, sign, both = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (letter, SIGNS, letter + SIGNS))
+            self.parts[letter] = alone + sign == both
+        return self.parts[letter]
+
     def learn(self) -> None:
         """Store the ids of the fresh words, which have the last numbers."""
         fresh, self.fresh = self.fresh, []
         # a word of letters and the ASCII signs after it are looked up apart
-        stems = [m if len(m := w.rstrip(SIGNS)) < len(w) and m.isalpha() else w for w in fresh]
+        stems = [m if len(m := w.rstrip(SIGNS)) < len(w) and m.isalpha() and (m.isascii() or self.parts_from_signs(m[-1])) else w for w in fresh]
         order = {w: None for w in stems}
         letters, others = [w for w in order if w.isalpha()], [w for w in order if not w.isalpha()]
         place = {w: i for i, w in enumerate(letters + others)}

@@ -1,5 +1,7 @@
 """Packing: an exact round trip against the tokenizer, and little padding."""
 
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -58,13 +60,29 @@ def test_round_trip_and_padding(spark, sf_small):
 
 def test_edge_cases(spark):
     long = " ".join(f"wörd{i % 5003}'s" for i in range(60_000))
-    texts = [None, "", " ", "<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ é ́x a b a b a\x0bb a\x85b", "don't  can't\n'S '", long, long, "x" * 5000, "日本語のテキスト 🎉"]
+    texts = [None, "", " ", "<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ é ́x a b a b a\x0bb a\x85b", "don't  can't\n'S '", long, long, "x" * 5000, "日本語のテキスト 🎉", "YENİ, ev TARİHİ. HALİ! क़, שׁ."]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (3, texts[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit("clash")).withColumn("length", F.lit(1))
     check(docs)
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_ids_of_odd_words():
+    """Words that end in every kind of character, before and after signs, against the tokenizer."""
+    words, rng = packing.WordIds(packing.default_tokenizer()), random.Random(1)
+    kinds = {}
+    for c in map(chr, range(0x20, 0x30000)):
+        kinds.setdefault(unicodedata.category(c), []).append(c)
+    kinds = [cs for kind, cs in sorted(kinds.items()) if kind[0] != "C"]
+    marked = [c for c in map(chr, range(0x20, 0x30000)) if c.isalpha() and not unicodedata.normalize("NFC", c.lower())[-1].isalpha()]
+    assert "İ" in marked
+    one = lambda: rng.choice([*"abXY", *",.!?'\"-s", *" \n\t", *rng.sample(marked, 6), *(rng.choice(cs) for cs in kinds)])
+    texts = ["".join(one() for _ in range(rng.randrange(1, 25))) for _ in range(10_000)]
+    for s in range(0, len(texts), 250):
+        for text, ids in zip(texts[s : s + 250], words.ids(texts[s : s + 250])):
+            assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=80))
 def test_tree_is_first_fit_decreasing(lengths):
