@@ -1,38 +1,66 @@
 """Sharding with size-tiered compaction (DataFrame functions only).
 
-A store is a folder of immutable Parquet files and numbered manifests.  Each arrival is
-written as a run of small shards and committed; ``compact`` merges runs of similar size
-(the same power of ``fan_in``), as soon as ``fan_in`` of them are there, into one run of
-files of about ``target_bytes``.  A merge reads its inputs in packed splits and writes
-them as they come: nothing is shuffled (but for targets below the size of a split).  No file is ever changed.
-
-A manifest lists a version's runs and files.  It is written under another name and moved
-to its own by a rename that fails if the name is taken: of two writers one wins, and the
-other reads the winner's manifest, applies its change to that, and tries again.  Readers
-see one version, whole; files that no version kept by ``vacuum`` lists are removed.
+A store is a folder of immutable runs and numbered manifests.  Each arrival is written as
+a run of small shards and committed; ``compact`` merges runs of similar size (the same
+power of ``fan_in``), as soon as ``fan_in`` of them are there, into one run of files of
+about ``target_bytes``.  Runs of ``target_bytes * fan_in ** 4`` and more are settled:
+merging them again would rewrite much and save few files.  A merge reads its inputs in
+packed splits and writes them as they come: nothing is shuffled (but for targets below
+the size of a split).  No file is ever changed.
+
+A manifest lists a version's schema and runs: their folder, number of files and bytes.
+Tiers keep the runs few (some ``fan_in`` a tier), so a manifest stays small whatever the
+number of files, and readers list a run's folder in parallel.  It is written under
+another name and moved to its own by a rename that fails if the name is taken: of two
+writers one wins, and the other reads the winner's manifest, applies its change to that,
+and tries again.  A commit first compares the folder of what it adds with what was
+written.  Readers see one version, whole.
+
+``vacuum`` removes old manifests and the runs that only those list.  Folders that no
+manifest lists may belong to a writer that has not committed yet: they go only once they
+have not been touched for ``orphan_seconds``.
+
+Schemas: an arrival may add columns; the store then has them, null in older runs.  A
+column whose type differs from the store's is refused, before anything is committed.
 
 Defined results: null columns and repeated rows are stored as they are; an empty arrival
-is a run without rows; all columns are kept; rows without doc_id are dealt to the first
-arrival.
+is a run without rows; all columns are kept, whatever their names (but two that differ by
+case alone are one, as in Spark); rows without doc_id are dealt to one arrival.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import new_path, table
 
 TARGET_BYTES, FAN_IN, ARRIVALS = 128 << 20, 4, 8
+#: An unlisted folder is a crashed writer's after a week.
+ORPHAN_SECONDS = 7 * 24 * 3600
 
 
 class Conflict(RuntimeError):
-    """A change rests on runs that another writer has replaced."""
+    """A change rests on runs that another writer has replaced, or on files that are gone."""
+
+
+def merged_schema(old: StructType, new: StructType) -> StructType:
+    """``old`` with the columns that ``new`` adds; all may be null."""
+    known = {f.name.lower(): f for f in old.fields}
+    fields = [StructField(f.name, f.dataType, True) for f in old.fields]
+    for f in new.fields:
+        before = known.get(f.name.lower())
+        if before is None:
+            fields.append(StructField(f.name, f.dataType, True))
+        elif before.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {before.dataType.simpleString()} in the store and {f.dataType.simpleString()} in the arrival")
+    return StructType(fields)
 
 
 class ShardStore:
@@ -54,9 +82,17 @@ class ShardStore:
             return []
         return sorted((s.getPath().getName(), s.getLen()) for s in self._system().listStatus(where))
 
+    def files(self, run: dict) -> list[tuple[str, int]]:
+        """Names and sizes of a run's files."""
+        return [(f"{run['id']}/{n}", size) for n, size in self._names(run["id"]) if n.endswith(".parquet")]
+
     def _run(self, folder: str) -> dict:
-        files = [[f"{folder}/{n}", size] for n, size in self._names(folder) if n.endswith(".parquet")]
-        return {"id": folder, "bytes": sum(size for _, size in files), "files": files}
+        sizes = [size for _, size in self.files({"id": folder})]
+        return {"id": folder, "files": len(sizes), "bytes": sum(sizes)}
+
+    def _check(self, run: dict) -> None:
+        if self._run(run["id"]) != run:
+            raise Conflict(f"files of {run['id']} are gone")
 
     # manifests ---------------------------------------------------------------------------
     def versions(self) -> list[int]:
@@ -95,23 +131,36 @@ class ShardStore:
     # changes -----------------------------------------------------------------------------
     def append(self, df: DataFrame) -> dict:
         """Write ``df`` as one run of small shards, and commit it."""
+        self._fits(df.schema)
         folder = f"data/run-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         return self._add(folder, df.schema)
 
     def append_each(self, df: DataFrame, arrival: str) -> dict:
         """Write many arrivals, told apart by a column, in one pass; commit each as a run of its own, in order."""
+        schema = StructType([f for f in df.schema.fields if f.name != arrival])
+        self._fits(schema)
         folder = f"data/bulk-{uuid.uuid4().hex}"
         df.write.partitionBy(arrival).parquet(f"{self.root}/{folder}")
-        schema = StructType([f for f in df.schema.fields if f.name != arrival])
         done = self.manifest()
         for name in sorted((n for n, _ in self._names(folder) if n.startswith(f"{arrival}=")), key=lambda n: (len(n), n)):
             done = self._add(f"{folder}/{name}", schema)
         return done
 
+    def _fits(self, schema: StructType) -> None:
+        now = self.manifest()["schema"]
+        if now:
+            merged_schema(StructType.fromJson(now), schema)
+
     def _add(self, folder: str, schema: StructType) -> dict:
-        run, fields = self._run(folder), json.loads(schema.json())
-        return self.commit(lambda m: m | {"schema": m["schema"] or fields, "runs": [*m["runs"], run]})
+        run = self._run(folder)
+
+        def change(m: dict) -> dict:
+            self._check(run)
+            now = merged_schema(StructType.fromJson(m["schema"]) if m["schema"] else StructType([]), schema)
+            return m | {"schema": json.loads(now.json()), "runs": [*m["runs"], run]}
+
+        return self.commit(change)
 
     def tier(self, size: int) -> int:
         return int(math.log(max(size, 1), self.fan_in))
@@ -137,7 +186,7 @@ class ShardStore:
         size = sum(r["bytes"] for r in runs)
         folder = f"data/run-{uuid.uuid4().hex}"
         files = max(1, round(size / self.target_bytes))
-        rows = self._read([f for r in runs for f in r["files"]], self.manifest()["schema"])
+        rows = self._read(runs, self.manifest()["schema"])
         # read splits are packed up to this size; only files smaller than that need a shuffle
         split = self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
         rows = rows.coalesce(files) if self.target_bytes >= split or files == 1 else rows.repartition(files)
@@ -147,44 +196,55 @@ class ShardStore:
         def change(m: dict) -> dict:
             if not old <= {r["id"] for r in m["runs"]}:
                 raise Conflict("runs were merged by another writer")
+            self._check(merged)
             return m | {"runs": [merged, *(r for r in m["runs"] if r["id"] not in old)]}
 
         return self.commit(change)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove manifests but the last ``keep``, and data files that those do not list; the number of files removed."""
+    def _folders(self) -> list[tuple[str, float]]:
+        """Folders of runs, listed or not, with the seconds since the last change of theirs or of a file in them."""
+        now, found = time.time(), []
+        for name, _ in self._names("data"):
+            inside = [f"data/{name}/{n}" for n, _ in self._names(f"data/{name}") if "=" in n] if name.startswith("bulk-") else []
+            for folder in inside or [f"data/{name}"]:
+                times = [s.getModificationTime() for s in (self._system().getFileStatus(self._path(folder)), *self._system().listStatus(self._path(folder)))]
+                found.append((folder, now - max(times) / 1000))
+        return found
+
+    def vacuum(self, keep: int = 1, orphan_seconds: float = ORPHAN_SECONDS) -> int:
+        """Remove manifests but the last ``keep``, the runs that only those list, and unlisted folders
+        that nobody has touched for ``orphan_seconds``; the number of folders removed."""
         versions = sorted(self.versions())
+        kept = {r["id"] for v in versions[-keep:] for r in self.manifest(v)["runs"]}
+        replaced = {r["id"] for v in versions[:-keep] for r in self.manifest(v)["runs"]} - kept
         for v in versions[:-keep]:
             self._system().delete(self._path(f"manifests/v{v:012d}.json"), False)
-        listed = {f for v in versions[-keep:] for r in self.manifest(v)["runs"] for f, _ in r["files"]}
-        walk, gone = self._system().listFiles(self._path("data"), True), []
-        while walk.hasNext():
-            at = walk.next().getPath()
-            name = at.toString()
-            name = name[name.rindex("/data/") + 1 :]
-            if name.endswith(".parquet") and name not in listed:
-                gone.append(at)
-        for at in gone:
-            self._system().delete(at, False)
-        return len(gone)
+        replaced |= {folder for folder, age in self._folders() if folder not in kept and age > orphan_seconds}
+        for folder in replaced:
+            self._system().delete(self._path(folder), True)
+        return len(replaced)
 
     # reading -----------------------------------------------------------------------------
-    def _read(self, files: list, schema: dict) -> DataFrame:
+    def _read(self, runs: list[dict], schema: dict) -> DataFrame:
         shape = StructType.fromJson(schema)
-        if not files:
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(*[f"{self.root}/{f}" for f, _ in files])
+        full = [f"{self.root}/{r['id']}" for r in runs if r["files"]]
+        return self.spark.read.schema(shape).parquet(*full) if full else self.spark.createDataFrame([], shape)
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
         m = self.manifest(version)
-        return self._read([f for r in m["runs"] for f in r["files"]], m["schema"])
+        if m["schema"] is None:
+            raise ValueError("the store is empty")
+        return self._read(m["runs"], m["schema"])
 
 
 def sharded(docs: DataFrame, arrivals: int = ARRIVALS, **settings) -> ShardStore:
     """A store of ``docs``, which come as ``arrivals`` arrivals (by hash of the doc_id), compacted."""
     store = ShardStore(docs.sparkSession, new_path(docs.sparkSession, "shards"), **settings)
-    store.append_each(docs.withColumn("_arrival", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(arrivals)).cast("int")), "_arrival")
+    name = "_arrival"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    store.append_each(docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(arrivals)).cast("int")), name)
     if not store.versions():  # no rows, no arrivals
         store.append(docs)
     store.compact()
