@@ -1,17 +1,19 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
-Every rule compares one text statistic with a cutoff.  Cutoffs come from labelled
-documents: for each stratum (language) and rule, the candidate cutoffs form a fixed
-sequence from lenient to strict.  A cutoff is *certified* while the exact binomial
-(Clopper-Pearson) test rejects "it turns away more than ``alpha / n_rules`` of the
-good documents" at level ``delta / (n_rules * n_strata)``: fixed-sequence testing
-inside a rule, Bonferroni across rules and strata.  Among certified cutoffs the one
-with the best gain (bad turned away minus ``cost`` times good turned away) is used;
-a rule without a certified, gainful cutoff turns nothing away.  So with probability
-``1 - delta`` no stratum loses more than ``alpha`` of its good documents to the rules.
+Every rule compares one text statistic with a cutoff.  The rule sets ``LEVELS`` form a
+fixed sequence from lenient to strict: a level names a cutoff for every rule, and turns
+away what any of them turns away.  Labelled documents certify levels for each stratum
+(language): going down the sequence, a level is certified while the exact binomial
+(Clopper-Pearson) test rejects "it turns away more than ``alpha`` of the good documents"
+at level ``delta / n_strata``: fixed-sequence testing inside a stratum, Bonferroni across
+strata.  Among certified levels the one with the best gain (bad turned away minus
+``cost`` times good turned away) is used; a stratum without a certified, gainful level
+turns nothing away.  So with probability ``1 - delta`` no stratum loses more than
+``alpha`` of its good documents to the rules.  (As all rules share one sequence, alpha is
+not divided among them: with four strata some 110 good labels without an error certify a level.)
 
 Defined results: a null text has no words (and fails the base rule); a null language is
-the stratum ``unknown``; a stratum without labels gets no cutoffs; labels other than
+the stratum ``unknown``; a stratum without labels gets no level; labels other than
 0 and 1 are ignored; of several labels of one document the lowest counts; repeated
 rows are judged each on their own; empty tables give empty results; further columns
 of the input are neither read nor overwritten (``keep_good`` hands them through).
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, let, materialize, table, words
 
-#: Candidate cutoffs of each rule, lenient to strict.  A document is turned away above the cutoff.
-GRIDS = {
-    "symbols": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02),
-    "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3),
-    "repeats": (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2),
-    "word_length": (24.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0),
+#: Cutoffs of each rule at each level, lenient to strict.  A document is turned away above any cutoff of its stratum's level.
+LEVELS = {
+    "symbols": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03),
+    "word_length": (30.0, 28.0, 26.0, 24.0, 22.0, 20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0),
+    "dup_lines": (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4),
+    "repeats": (0.5, 0.49, 0.48, 0.47, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALPHA, DELTA, COST = 0.04, 0.05, 10
@@ -96,47 +98,52 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(0.0)).when(k < 1, first).otherwise(folded)
 
 
+def marked(labels: DataFrame) -> DataFrame:
+    """(_id, _y): one row for each labelled document."""
+    return labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where(F.col("_y").isin(0, 1)).groupBy("_id").agg(F.min("_y").alias("_y"))
+
+
+def first_level(metrics: DataFrame) -> Column:
+    """The first level that turns a document away; the number of levels if none does."""
+    return F.least(*[sum((_statistic(r) <= c).cast("int") for c in cutoffs) for r, cutoffs in LEVELS.items()])
+
+
 def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> DataFrame:
-    """One row per stratum with labels: stratum and, for each rule, its cutoff (null: the rule turns nothing away).
+    """One row per stratum with labels: stratum and level (null: nothing is turned away).
 
-    Each labelled document falls, for each rule, at the first candidate cutoff that turns it
-    away; counts of (stratum, rule, first cutoff) are all that is shuffled.
+    Counts of (stratum, first level that turns a labelled document away) are all that is shuffled.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("_y")).where(F.col("_y").isin(0, 1)).groupBy("doc_id").agg(F.min("_y").alias("_y"))
-    at = [F.struct(F.lit(r).alias("rule"), sum((_statistic(r) <= c).cast("int") for c in grid).alias("j")) for r, grid in GRIDS.items()]
-    seen = metrics.where(~F.col("base_failed")).join(marks, "doc_id").select("stratum", "_y", F.inline(F.array(*at)))
-    bins = seen.groupBy("stratum", "rule", "j").agg(F.sum("_y").alias("good"), F.sum(1 - F.col("_y")).alias("bad"))
-    sums = bins.groupBy("stratum", "rule").agg(F.collect_list(F.struct("j", "good", "bad")).alias("bins"), F.sum("good").alias("n"))
-    # the table has a row per stratum and rule; its row count enters Bonferroni's correction
-    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    sums = sums.withColumn("level", F.log(F.lit(delta) / tests))
-    risk = alpha / len(GRIDS)
+    seen = metrics.where(~F.col("base_failed")).join(marked(labels), F.col("doc_id") == F.col("_id")).select("stratum", "_y", first_level(metrics).alias("j"))
+    bins = seen.groupBy("stratum", "j").agg(F.sum("_y").alias("good"), F.sum(1 - F.col("_y")).alias("bad"))
+    sums = bins.groupBy("stratum").agg(F.collect_list(F.struct("j", "good", "bad")).alias("bins"), F.sum("good").alias("n"))
+    # a row per stratum; their number enters Bonferroni's correction
+    sums = sums.withColumn("least", F.log(F.lit(delta) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))))
     upto = lambda j, what: F.aggregate(F.filter("bins", lambda b: b["j"] <= j), F.lit(0).cast("long"), lambda a, b: a + b[what])
-    grid = F.create_map(*[x for r, g in GRIDS.items() for x in (F.lit(r), F.array(*map(F.lit, g)))])
-    steps = F.transform(F.element_at(grid, F.col("rule")), lambda c, j: F.struct(j.alias("j"), c.alias("cutoff"), upto(j, "good").alias("k"), upto(j, "bad").alias("bad")))
-    tried = sums.withColumn("steps", steps)
-    passed = F.filter("steps", lambda s: (log_binomial_tail(F.col("n"), s["k"], risk) <= F.col("level")) & (s["bad"] > cost * s["k"]))
-    best = F.array_max(F.transform(passed, lambda s: F.struct((s["bad"] - cost * s["k"]).alias("gain"), (-s["j"]).alias("lenient"), s["cutoff"].alias("cutoff"))))["cutoff"]
-    return tried.select("stratum", "rule", best.alias("cutoff")).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in GRIDS])
+    levels = F.sequence(F.lit(0), F.lit(len(LEVELS["symbols"]) - 1))
+    tried = sums.withColumn("steps", F.transform(levels, lambda j: F.struct(j.alias("j"), upto(j, "good").alias("k"), upto(j, "bad").alias("bad"))))
+    # k only grows along the sequence, so the levels that pass are its beginning
+    passed = F.filter("steps", lambda s: (log_binomial_tail(F.col("n"), s["k"], alpha) <= F.col("least")) & (s["bad"] > cost * s["k"]))
+    best = F.array_max(F.transform(passed, lambda s: F.struct((s["bad"] - cost * s["k"]).alias("gain"), (-s["j"]).alias("lenient"))))["lenient"]
+    return tried.select("stratum", (-best).alias("level"))
 
 
-def judge(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``metrics`` with ``kept``: false for base failures and for a statistic above its stratum's cutoff."""
+def judge(metrics: DataFrame, levels: DataFrame) -> DataFrame:
+    """``metrics`` with ``kept``: false for base failures and for a statistic above a cutoff of its stratum's level."""
     above = F.lit(False)
-    for rule in GRIDS:
-        above = above | F.coalesce(_statistic(rule) > F.col(f"_cut_{rule}"), F.lit(False))
-    joined = metrics.join(cutoffs, "stratum", "left")
+    for rule, cutoffs in LEVELS.items():
+        above = above | F.coalesce(_statistic(rule) > F.get(F.array(*map(F.lit, cutoffs)), F.col("_level")), F.lit(False))
+    joined = metrics.join(levels.select(F.col("stratum"), F.col("level").alias("_level")), "stratum", "left")
     # one expression, not a conjunction: a filter on it is not split and moved to where the statistics would be computed anew
     return joined.withColumn("kept", ~F.greatest(F.col("base_failed"), above))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    cutoffs = materialize(calibrate(materialize(score(docs), "quality-metrics"), labels, **settings), "quality-cutoffs")
-    return judge(score(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), cutoffs).where("kept").select("_doc.*")
+    levels = materialize(calibrate(materialize(score(docs), "quality-metrics"), labels, **settings), "quality-levels")
+    return judge(score(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), levels).where("kept").select("_doc.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     metrics = materialize(score(table(spark, sf_dir, "documents")), "quality-metrics")
-    cutoffs = materialize(calibrate(metrics, table(spark, sf_dir, "labels")), "quality-cutoffs")
-    return judge(metrics, cutoffs).select("doc_id", *METRICS, "base_failed", "kept")
+    levels = materialize(calibrate(metrics, table(spark, sf_dir, "labels")), "quality-levels")
+    return judge(metrics, levels).select("doc_id", *METRICS, "base_failed", "kept")

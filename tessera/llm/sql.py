@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import DIGITS, SEED
-from .quality_rules import ALPHA, COST, DELTA, GRIDS
+from .quality_rules import ALPHA, COST, DELTA, LEVELS
 from .url_rules import CONFIDENCE, LEAST, RULES, SUPPORT
 
 #: Blank characters as a regular-expression class body (space, TAB to CR).
@@ -46,10 +46,9 @@ FROM taken
 
 def _op1() -> str:
     rules = {"symbols": "n_symbols / greatest(word_chars, 1)::DOUBLE", "dup_lines": "n_dup_lines / greatest(n_lines, 1)::DOUBLE", "repeats": "n_repeat_words / greatest(n_words, 1)::DOUBLE", "word_length": "word_chars / greatest(n_words, 1)::DOUBLE"}
-    grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, {j} AS j, {c}::DOUBLE AS cutoff" for r, cs in GRIDS.items() for j, c in enumerate(cs))
-    long = " UNION ALL ".join(f"SELECT stratum, quality, '{r}' AS rule, {x} AS x FROM labelled" for r, x in rules.items())
-    above = " OR ".join(f"coalesce({x} > (SELECT cutoff FROM best b WHERE b.stratum = m.stratum AND b.rule = '{r}'), false)" for r, x in rules.items())
-    risk = ALPHA / len(GRIDS)
+    columns = ", ".join(f"c_{r}" for r in rules)
+    cutoffs = ", ".join(f"({j}, {', '.join(f'{LEVELS[r][j]}::DOUBLE' for r in rules)})" for j in range(len(LEVELS["symbols"])))
+    above = " OR ".join(f"{x} > c_{r}" for r, x in rules.items())
     return rf"""
 WITH w AS (SELECT doc_id, coalesce(lang, 'unknown') AS stratum, coalesce(text, '') AS text, {words("text")} AS w FROM documents),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_B}]')) AS l FROM w),
@@ -65,19 +64,18 @@ m AS (
   FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 labelled AS (SELECT f.*, y.quality FROM failed f JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) y USING (doc_id) WHERE NOT base_failed),
-long AS ({long}),
-grid AS ({grid}),
+levels AS (SELECT * FROM (VALUES {cutoffs}) v(j, {columns})),
 counts AS (
-  SELECT stratum, l.rule, j, cutoff, sum(quality) AS n, count(*) FILTER (WHERE quality = 1 AND x > cutoff) AS k, count(*) FILTER (WHERE quality = 0 AND x > cutoff) AS bad
-  FROM long l JOIN grid g ON l.rule = g.rule GROUP BY ALL),
-level AS (SELECT ln({DELTA} / count(*)) AS level FROM (SELECT DISTINCT stratum, rule FROM counts)),
+  SELECT stratum, j, sum(quality) AS n, count(*) FILTER (WHERE quality = 1 AND ({above})) AS k, count(*) FILTER (WHERE quality = 0 AND ({above})) AS bad
+  FROM labelled, levels GROUP BY ALL),
+least AS (SELECT ln({DELTA} / count(*)) AS least FROM (SELECT DISTINCT stratum FROM counts)),
 certified AS (
-  SELECT stratum, rule, j, cutoff, bad - {COST} * k AS gain FROM counts, level
-  WHERE bad > {COST} * k AND k <= n * {risk!r}
-    AND ln(list_sum(list_transform(range(0, CAST(k + 1 AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r}))))) <= level),
-best AS (SELECT stratum, rule, cutoff FROM certified QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, j) = 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({above}) AS kept
-FROM failed m
+  SELECT stratum, j, bad - {COST} * k AS gain FROM counts, least
+  WHERE bad > {COST} * k AND k <= n * {ALPHA!r}
+    AND ln(list_sum(list_transform(range(0, CAST(k + 1 AS BIGINT)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA!r}) + (n - i) * ln(1 - {ALPHA!r}))))) <= least),
+best AS (SELECT stratum, j FROM certified QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, j) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({above}, false) AS kept
+FROM failed m LEFT JOIN best USING (stratum) LEFT JOIN levels USING (j)
 """
 
 

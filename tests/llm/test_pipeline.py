@@ -26,9 +26,9 @@ def test_stages_and_run(spark, tmp_path):
         docs = seen[name][1]
 
     before, after = seen["quality rules"]
-    failed = {r.doc_id for r in quality_rules.score(before).where("base_failed").collect()}
-    kept = {r.doc_id for r in after.collect()}
-    assert kept == {r.doc_id for r in before.collect()} - failed  # too few labels here to certify a cutoff
+    metrics = quality_rules.score(before)
+    levels = quality_rules.calibrate(metrics, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in quality_rules.judge(metrics, levels).where("kept").collect()}
 
     before, after = seen["line dedup"]
     texts, owner = {r.doc_id: r.text for r in before.collect()}, {}

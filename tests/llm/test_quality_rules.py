@@ -3,6 +3,8 @@
 import math
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,9 +56,9 @@ def test_cutoffs_are_certified_or_absent(spark):
     docs, labels = _docs(spark, 1500, 300)
     kept = Q.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 1500
-    docs, labels = _docs(spark, 100, 100)  # too few good ones to certify anything
-    assert Q.keep_good(docs, labels).count() == 200
-    docs, labels = _docs(spark, 1500, 300, 0.05)  # the rule would turn away 5 % of the good ones
+    docs, labels = _docs(spark, 60, 100)  # too few good ones: 0.96 ** 60 > 0.05
+    assert Q.keep_good(docs, labels).count() == 160
+    docs, labels = _docs(spark, 1500, 300, 0.05)  # the rules would turn away 5 % of the good ones
     assert Q.keep_good(docs, labels).count() == 1800
 
 
@@ -66,3 +68,43 @@ def test_no_labels_nulls_and_empty(spark):
     assert Q.keep_good(docs, labels.where("false")).count() == 60
     assert Q.keep_good(docs, odd).count() == 60
     assert Q.keep_good(docs.where("false"), labels).count() == 0
+
+
+def test_guarantee_by_resampling(spark):
+    """Strata drawn again and again, whose true share of good documents turned away grows along the levels and passes
+    alpha at the fifth: a level beyond the fourth is used in at most the share delta of them."""
+    rng, n, times, delta = np.random.default_rng(4), 400, 300, 0.05
+    true = np.array([0.001, 0.005, 0.01, 0.02, Q.ALPHA + 0.001, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3])
+    cutoffs = Q.LEVELS["symbols"]
+    at = [int(1000 * c) + 1 for c in cutoffs]  # symbols of a text of 1000 characters that the level just turns away
+    rows, doc = [], 0
+    for s in range(times):
+        for j, k in enumerate(rng.multinomial(n, np.diff([0, *true, 1]))):
+            for _ in range(k):
+                rows.append((doc, f"s{s}", at[j] if j < len(at) else 0, 1))
+                doc += 1
+        for j in range(len(at)):  # bad documents by the hundred, so that strict levels pay
+            rows += [(doc + i, f"s{s}", at[j], 0) for i in range(100)]
+            doc += 100
+    seen = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "stratum", "n_symbols", "quality"]))
+    metrics = seen.select("doc_id", "stratum", F.lit(1000).alias("word_chars"), "n_symbols", F.lit(200).alias("n_words"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"), F.lit(1).alias("n_lines"), F.lit(False).alias("base_failed"))
+    got = [r.level for r in Q.calibrate(metrics, seen.select("doc_id", "quality"), delta=delta * times, cost=0).collect()]
+    assert len(got) == times and sum(x is not None for x in got) > 0.9 * times
+    assert sum(x is not None and true[x] > Q.ALPHA for x in got) <= delta * times + 2 * (delta * times) ** 0.5
+
+
+def test_repeated_rows_and_labels(spark):
+    docs, labels = _docs(spark, 200, 30)
+    kept = Q.keep_good(docs.union(docs), labels.union(labels.withColumn("quality", F.lit(1))))
+    assert kept.count() == 400  # each bad document counts as bad, each row for itself
+
+
+def test_bad_documents_of_a_table_are_caught(spark):
+    """Cutoffs are certified at sf0.01 for English, the one language with enough labels there, and catch most labelled bad documents."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    metrics, labels = Q.score(read("documents")).cache(), read("labels")
+    levels = Q.calibrate(metrics, labels)
+    assert {r.stratum for r in levels.where("level is not null").collect()} == {"en"}
+    judged = Q.judge(metrics, levels).join(labels, "doc_id").where("not base_failed and stratum = 'en'").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in judged}
+    assert kept[0] < 0.1 and kept[1] > 0.99
