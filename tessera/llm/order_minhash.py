@@ -2,14 +2,18 @@
 
 A text's symbols are its words, its k-mers runs of ``K`` words, each numbered by its
 occurrence (the second time a k-mer appears it is another element).  Every numbered
-k-mer has one hash; its top bits choose one of ``M`` sketches, and each sketch keeps the
-``L`` elements of smallest hash, puts them back in text order, and hashes that tuple.
-Moving a passage changes the tuples though the set of k-mers stays: the likeness of two
-fingerprints (equal sketches over sketches that either text fills) falls with edits, not
-just with lost k-mers.  One hash for each element (not M) keeps the cost linear.
+k-mer has one hash; its top bits choose one of ``M`` sketches, and each sketch that has an
+element keeps the ``L`` elements that follow its lower end in hash order (its own smallest
+ones; where it has too few, the next sketches', round the end), puts them back in text
+order, and hashes that tuple.  So a tuple tells the order of ``L`` elements in texts of any
+length but of a single k-mer.  Moving a passage changes the tuples though the set of k-mers
+stays: the likeness of two fingerprints (equal sketches over sketches that either text
+fills) falls with edits, not just with lost k-mers.  One hash for each element (not M)
+keeps the cost linear.
 
 Elements are packed as 32 hash bits above 31 bits of place in one long, so that sorting
-is that of plain numbers.
+is that of plain numbers.  (In a text of n k-mers two different ones have the same 32 bits
+with a chance of about n * n / 2^33; they then count as occurrences of one.)
 
 Defined results: null texts are empty; a text without words has the empty fingerprint;
 fewer than ``K`` words make one k-mer; two empty fingerprints have likeness 1, an empty
@@ -78,8 +82,11 @@ def sketches(text: Column, k: int = K, l: int = L, m: int = M) -> Column:  # noq
     sketch = lambda x: F.shiftright(x, PLACE_BITS + HASH_BITS - bits)
 
     def fold(elements: Column) -> Column:
-        def one(s: Column, e: Column) -> Column:
-            least = F.slice(elements, s + 1, F.least(e - s, F.lit(l)))
+        return let(F.concat(elements, F.slice(elements, 1, l - 1)), lambda round_the_end: tuples(elements, round_the_end))
+
+    def tuples(elements: Column, round_the_end: Column) -> Column:
+        def one(s: Column, _: Column) -> Column:
+            least = F.slice(round_the_end, s + 1, l)
             in_order = F.array_sort(F.transform(least, lambda x: F.struct(_place(x).alias("p"), _hash(x).alias("h"))))
             tuple_hash = F.shiftrightunsigned(F.xxhash64(F.transform(in_order, lambda t: t["h"])), 32)
             return F.shiftleft(sketch(F.get(elements, s)), 32).bitwiseOR(tuple_hash)
