@@ -1,15 +1,16 @@
 """SimHash near-duplicates, found with pivot distance tables.
 
 A document's fingerprint has bit i set where over half of its shingle hashes have it.
-Equal fingerprints are one node.  Two fingerprints with at most ``MOST`` differing bits
-agree in all but ``MOST`` of ``n_blocks`` blocks of bits, so each node is dealt into one
-bucket for every choice of the blocks that may agree; that loses no link.  Inside a
-bucket, distances of its fingerprints to ``N_PIVOTS`` fixed reference fingerprints are
-tabulated first: a pair whose distances to any one reference differ by more than
-``MOST`` cannot be linked (triangle inequality) and is discarded; the survivors'
-differing bits are counted.  (Pivot tables alone leave all pairs to be looked at: the
-distances of random 64-bit words to any reference lie within a few bits of each other,
-so no cell division of them is selective.  Blocks make the tables' input small.)
+Equal fingerprints are one node.  A pivot table holds a fingerprint's Hamming distances to
+reference fingerprints: the word 0, the 32 words with two neighbouring bits set (*pair
+pivots*), and ``N_PIVOTS`` pseudo-random ones.  Coordinates make the candidates.  The
+distances to 0 and to a pair pivot give how many of its two bits are set: (d0 + 2 - d) / 2,
+the pair's *coordinate*; flipping one bit of a fingerprint changes one of its 32 pair
+coordinates.  So fingerprints with at most ``MOST`` differing bits have equal coordinates in
+all but ``MOST`` of ``n_groups`` groups of pairs, and each node is dealt into one bucket for
+every choice of the groups that may agree; that loses no link.  Inside a bucket a pair whose
+distances to any reference (0 and the random ones) differ by more than ``MOST`` is discarded
+(triangle inequality); the survivors' differing bits are counted.
 
 A bucket hands back spanning links only, never its pairs, and a bucket over ``CHUNK``
 nodes is cut into chunks that are compared two by two in tasks of their own.
@@ -89,6 +90,16 @@ def pivots(n: int = N_PIVOTS) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def pair_pivots() -> np.ndarray:
+    """Reference fingerprints with two neighbouring bits set."""
+    return np.uint64(3) << (2 * np.arange(32, dtype=np.uint64))
+
+
+def discarding() -> np.ndarray:
+    """The references whose distances discard pairs inside a bucket."""
+    return np.r_[np.uint64(0), pivots()]
+
+
 def pivot_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Hamming distances, a row for each reference and a column for each fingerprint."""
     return np.stack([np.bitwise_count(fps ^ p).astype(np.int8) for p in references])
@@ -105,7 +116,7 @@ def _survivors(table: np.ndarray, left, right: np.ndarray, most: int) -> np.ndar
 
 def spanning_links(fps: np.ndarray, most: int = MOST, references: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that join exactly those of ``fps`` that chains of at most ``most`` differing bits join."""
-    table = pivot_table(fps, pivots() if references is None else references)
+    table = pivot_table(fps, discarding() if references is None else references)
     rest, links = np.arange(len(fps)), []
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
@@ -126,7 +137,7 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, most: int = MOST) -> tuple
     all of them, long ones by ``spanning_links``."""
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[edges, len(bucket)])
-    refs, found = pivots(), []
+    refs, found = discarding(), []
     for s, n in zip(edges[sizes > SMALL], sizes[sizes > SMALL], strict=True):
         found += spanning_links(np.unique(fps[s : s + n]), most, refs)
     short = np.repeat(sizes <= SMALL, sizes) & np.repeat(sizes > 1, sizes)
@@ -167,23 +178,32 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(keys, fps)
 
 
-def block_keys(fp: Column, n_blocks: int, most: int = MOST) -> Column:
-    """A bucket number (bigint) for each choice of n_blocks - most blocks: the choice's number and those blocks' bits, hashed."""
-    ends = [64 * i // n_blocks for i in range(n_blocks + 1)]
-    masks = [sum(1 << b for b in range(ends[i], ends[i + 1])) for i in range(n_blocks)]
+def pair_coordinates(fp: Column) -> Column:
+    """A fingerprint's 32 pair coordinates, two bits each, as one bigint: the distances to 0 and to
+    each pair pivot, d0 and d, as (d0 + 2 - d) / 2.  Counting bits pairwise gives all of them at once."""
+    low = F.lit(0x5555555555555555)
+    both = fp.bitwiseAND(F.shiftrightunsigned(fp, 1)).bitwiseAND(low)
+    one = fp.bitwiseXOR(F.shiftrightunsigned(fp, 1)).bitwiseAND(low)
+    return F.shiftleft(both, 1).bitwiseOR(one)
+
+
+def pivot_keys(fp: Column, n_groups: int, most: int = MOST) -> Column:
+    """A bucket number (bigint) for each choice of n_groups - most groups of pair pivots: the choice's number and the coordinates there, hashed."""
+    ends = [2 * (32 * i // n_groups) for i in range(n_groups + 1)]
+    masks = [sum(1 << b for b in range(ends[i], ends[i + 1])) for i in range(n_groups)]
     keys = []
-    for t, chosen in enumerate(combinations(range(n_blocks), n_blocks - most)):
+    for t, chosen in enumerate(combinations(range(n_groups), n_groups - most)):
         mask = sum(masks[i] for i in chosen)
         mask -= (1 << 64) * (mask >= 1 << 63)
-        keys.append(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(mask))))
+        keys.append(F.xxhash64(F.lit(t), pair_coordinates(fp).bitwiseAND(F.lit(mask))))
     return F.array(*keys)
 
 
-def near_links(fps: DataFrame, n_blocks: int | None = None, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
+def near_links(fps: DataFrame, n_groups: int | None = None, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links between distinct fingerprints of ``fps(fp)`` that join what chains of links join."""
-    if n_blocks is None:  # more blocks agree in more bits; that pays from some 10^8 nodes on
-        n_blocks = 5 if fps.count() < 1 << 26 else 6
-    rows = fps.select("fp", F.explode(block_keys(F.col("fp"), n_blocks, most)).alias("bucket"))
+    if n_groups is None:  # more groups agree in more coordinates; either way no link is lost, and the cost of more pays from some 10^7 nodes on
+        n_groups = 5 if fps.count() < 1 << 24 else 6
+    rows = fps.select("fp", F.explode(pivot_keys(F.col("fp"), n_groups, most)).alias("bucket"))
     hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
     hot = materialize(hot.select(F.col("bucket").alias("_b"), F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks")), "hot-buckets")
     rows = rows.join(hot, F.col("bucket") == F.col("_b"), "left")

@@ -104,11 +104,19 @@ def test_hot_bucket_in_chunks(spark):
     assert [first.setdefault(root(int(f)), i) for i, f in enumerate(fps)] == brute_components(range(len(fps)), [int(f) for f in fps])
 
 
-@pytest.mark.parametrize("blocks", [5, 6])
-def test_blocks_lose_no_link(spark, blocks):
-    rng = np.random.default_rng(blocks)
+def test_pair_coordinates_are_pivot_distances(spark):
+    fps = np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64)
+    table = simhash.pivot_table(fps, np.r_[np.uint64(0), simhash.pair_pivots()]).astype(int)
+    df = spark.createDataFrame([(i, int(x.view(np.int64))) for i, x in enumerate(fps)], "i int, fp long")
+    for i, packed in df.select("i", simhash.pair_coordinates(F.col("fp"))).collect():
+        assert [packed >> 2 * k & 3 for k in range(32)] == ((table[0, i] + 2 - table[1:, i]) // 2).tolist()
+
+
+@pytest.mark.parametrize("groups", [5, 6])
+def test_pivot_keys_lose_no_link(spark, groups):
+    rng = np.random.default_rng(groups)
     a = rng.integers(0, 2**63, 200, dtype=np.uint64)
     b = a ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
     df = spark.createDataFrame([(int(x.view(np.int64)), int(y.view(np.int64))) for x, y in zip(a, b)], "a long, b long")
-    lost = df.where(~F.arrays_overlap(simhash.block_keys(F.col("a"), blocks), simhash.block_keys(F.col("b"), blocks))).count()
+    lost = df.where(~F.arrays_overlap(simhash.pivot_keys(F.col("a"), groups), simhash.pivot_keys(F.col("b"), groups))).count()
     assert lost == 0
