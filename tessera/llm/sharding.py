@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import new_path, table
+from .common import Taken, new_path, read_text, table, write_text
 
 TARGET_BYTES, FAN_IN, ARRIVALS = 128 << 20, 4, 8
 #: An unlisted folder is a crashed writer's after a week.
@@ -104,29 +104,18 @@ class ShardStore:
             version = max(self.versions(), default=0)
         if version == 0:
             return {"version": 0, "schema": None, "runs": []}
-        stream = self._system().open(self._path(f"manifests/v{version:012d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(read_text(self.spark, f"{self.root}/manifests/v{version:012d}.json"))
 
     def commit(self, change) -> dict:
         """Apply ``change(manifest)`` to the latest version and commit the next one, atomically."""
         while True:
             now = self.manifest()
             new = change(json.loads(json.dumps(now))) | {"version": now["version"] + 1}
-            draft, final = self._path(f"manifests/draft-{uuid.uuid4().hex}"), self._path(f"manifests/v{new['version']:012d}.json")
-            out = self._system().create(draft, False)
-            out.write(bytearray(json.dumps(new).encode()))
-            out.close()
             try:
-                none = self.spark.sparkContext._gateway.new_array(self._fs.Options.Rename, 0)
-                self._fs.FileContext.getFileContext(draft.toUri(), self._conf).rename(draft, final, none)
+                write_text(self.spark, f"{self.root}/manifests/v{new['version']:012d}.json", json.dumps(new))
                 return new
-            except Exception as e:
-                self._system().delete(draft, False)
-                if "FileAlreadyExists" not in str(e):
-                    raise
+            except Taken:
+                continue
 
     # changes -----------------------------------------------------------------------------
     def append(self, df: DataFrame) -> dict:

@@ -59,3 +59,34 @@ def test_runs_are_merged_and_hold_each_key_once(spark):
     assert len(rows) == len({r.h1 for r in rows}) == 300
     assert all(r.owner == max(0, r.h1 // 50 - 1) for r in rows)
     runs.close()
+
+
+def test_runs_are_read_in_their_order(spark, sf_small):
+    """The plan of a batch's anti-joins sorts and deals the batch's keys alone, never a run."""
+    keys = L.line_keys(spark.read.parquet(f"{sf_small}/documents.parquet")).groupBy(*L.KEY).agg(F.min("doc_id").alias("owner")).cache()
+    with L.LineRuns(spark, fan_in=9) as runs:
+        for i in range(3):
+            runs.add(keys.where(F.pmod("h1", F.lit(4)) == i))
+        with L.sorted_scans(spark):
+            found = runs.new_keys(spark.createDataFrame(keys.collect(), keys.schema))
+            plan = found._jdf.queryExecution().sparkPlan().toString(), found._jdf.queryExecution().executedPlan().toString()
+            assert plan[1].count("Sort ") == 1 and plan[1].count("Exchange hashpartitioning") == 1, plan[1]
+            assert found.count() == keys.where(F.pmod("h1", F.lit(4)) == 3).count()
+
+
+def test_later_arrivals_go_on_from_the_stored_runs(spark, sf_small, tmp_path):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    root, ends = f"{tmp_path}/runs", [60, 90, 150, 10**9]
+    got, low = [], -1
+    for end in ends:
+        with L.LineRuns(spark, root, fan_in=2) as runs:  # opened anew each time
+            part = docs.where(f"doc_id > {low} and doc_id <= {end}")
+            got += [tuple(r) for r in L.dedup(part, runs).select("_doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256)).collect()]
+        low = end
+    assert sorted(got, key=str) == brute([tuple(r) for r in docs.collect()])
+    with L.LineRuns(spark, root, fan_in=2) as one, L.LineRuns(spark, root, fan_in=2) as other:
+        rows = spark.createDataFrame([(1, 2, 3)], "h1 long, h2 long, owner long")
+        one.add(rows)
+        with pytest.raises(RuntimeError):
+            other.add(rows)
+    assert [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")] == []
