@@ -43,10 +43,12 @@ def frequency_weight(is_most_frequent: Column, usual: float, rare: float) -> Col
 
 def pool(vectors: DataFrame, how: str) -> DataFrame:
     """``vectors(segment, pos, vec array<double>)`` to (segment, vec), element by element: max, mean, first or lme
-    (the logarithm of the mean of exponentials)."""
+    (the logarithm of the mean of exponentials, taken of what lies below the maximum, so that none overflows)."""
     each = vectors.select("segment", "pos", F.posexplode("vec").alias("i", "x"))
     x = F.col("x").cast("double")
-    agg = {"max": F.max(x), "mean": F.avg(x), "first": F.min_by(x, "pos"), "lme": F.log(F.avg(F.exp(x)))}[how]
+    if how == "lme":
+        each = each.withColumn("_top", F.max(x).over(Window.partitionBy("segment", "i")))
+    agg = {"max": F.max(x), "mean": F.avg(x), "first": F.min_by(x, "pos"), "lme": F.max("_top") + F.log(F.avg(F.exp(x - F.col("_top"))))}[how]
     return each.groupBy("segment", "i").agg(agg.alias("x")).groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
 
 

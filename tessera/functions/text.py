@@ -175,7 +175,7 @@ def parse_year(time: Column) -> Column:
 
 def token_features(token: Column, suffix: int = 3, prefix: int = 3, widest: int = 8) -> Column:
     """Struct of a token's features: word, suffix, prefix, their lower-case forms, digits, signs, capital, UTF-8 bytes (255 before, 256 after, padded with -1)."""
-    codes = _bytes(token)
+    codes = _bytes(F.left(token, F.lit(widest - 2)))  # no more characters than bytes are kept
     bounded = F.concat(F.array(F.lit(255)), F.slice(codes, 1, widest - 2), F.array(F.lit(256)))
     padded = F.concat(bounded, F.array_repeat(F.lit(-1), F.lit(widest) - F.size(bounded)))
     return F.struct(

@@ -154,14 +154,21 @@ def find_by_relation(sources: DataFrame, history: DataFrame, edges: DataFrame, l
 def contemporary(candidates: DataFrame, history: DataFrame, alive_until: int = 2100) -> DataFrame:
     """``candidates(doc_id, step, entity, person, birth, death)`` with ``fits``: a person with a known date
     overlaps [least birth, greatest death] of the persons in the document's earlier history
-    ``(doc_id, step, entity, person, birth, death)``; other candidates fit; with no history nothing does."""
-    past = history.select("doc_id", F.col("step").alias("_s"), F.col("person").alias("_p"), F.col("birth").alias("_b"), F.coalesce("death", F.lit(alive_until)).alias("_d"))
-    spans = candidates.select("doc_id", "step").distinct().join(past, "doc_id").where("_s < step").groupBy("doc_id", "step").agg(
-        F.coalesce(F.min(F.when(F.col("_p"), F.col("_b"))), F.lit(0)).alias("_lo"), F.coalesce(F.max(F.when(F.col("_p") & F.col("_b").isNotNull(), F.col("_d"))), F.lit(0)).alias("_hi")
+    ``(doc_id, step, entity, person, birth, death)``; other candidates fit; with no history nothing does.
+
+    Spans are running extremes over a document's steps: one row for each (doc_id, step), none against each other.
+    """
+    p, b = F.col("person"), F.col("birth")
+    steps = history.groupBy("doc_id", "step").agg(
+        F.min(F.when(p, b)).alias("_b"), F.max(F.when(p & b.isNotNull(), F.coalesce("death", F.lit(alive_until)))).alias("_d"), F.lit(1).alias("_n")
     )
+    asked = candidates.select("doc_id", "step").distinct()
+    before = Window.partitionBy("doc_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    spans = steps.join(asked, ["doc_id", "step"], "full").withColumns({"_lo": F.min("_b").over(before), "_hi": F.max("_d").over(before), "_any": F.max("_n").over(before)})
+    spans = spans.select("doc_id", "step", "_any", F.coalesce("_lo", F.lit(0)).alias("_lo"), F.coalesce("_hi", F.lit(0)).alias("_hi"))
     rows = candidates.join(spans, ["doc_id", "step"], "left")
     overlap = (F.col("birth") <= F.col("_hi")) & (F.coalesce("death", F.lit(alive_until)) >= F.col("_lo"))
-    fits = F.when(F.col("_lo").isNull(), F.lit(False)).when(~F.col("person") | F.col("birth").isNull(), F.lit(True)).otherwise(overlap)
+    fits = F.when(F.col("_any").isNull(), F.lit(False)).when(~F.col("person") | F.col("birth").isNull(), F.lit(True)).otherwise(overlap)
     return rows.select("doc_id", "step", "entity", fits.alias("fits"))
 
 
@@ -253,9 +260,10 @@ def town_rule(candidates: DataFrame, towns: DataFrame, venues: DataFrame, by: st
 
 
 def sample_negatives(candidates: DataFrame, n: int, seed: int = 1, weight: Column | None = None) -> DataFrame:
-    """(mention_id, entity, pos): the label first, then a weighted sample without replacement (keys -log(u)/w, u by
-    hash) of at most n - 1 others.  ``candidates(mention_id, entity, is_label)``."""
-    u = (F.pmod(F.xxhash64("mention_id", "entity", F.lit(seed)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    """(mention_id, entity, pos): the label first, then a weighted sample without replacement (keys -log(u)/w, u from
+    40 bits of an MD5 sum) of at most n - 1 others.  ``candidates(mention_id, entity, is_label)``."""
+    digest = F.md5(F.concat_ws(":", F.col("mention_id").cast("string"), F.col("entity").cast("string"), F.lit(str(seed))))
+    u = (F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") + 1) / F.lit(float((1 << 40) + 1))
     key = F.when(F.col("is_label"), F.lit(-1.0)).otherwise(-F.log(u) / (F.lit(1.0) if weight is None else weight))
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy("_key", "entity"))
     return candidates.withColumn("_key", key).withColumn("pos", rank - 1).where(F.col("pos") < n).select("mention_id", "entity", "pos")

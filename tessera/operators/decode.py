@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,21 +34,26 @@ def beam(scores: DataFrame, width: int = 4, reorder: bool = False, repeat_penalt
     beam predicted before (a score after normalisation).  With ``reorder``, steps with most candidates come first.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        steps = [(s, g.sort_values("pos")) for s, g in frame.groupby("step")]
+    def run(rows: pa.Table) -> pa.Table:
+        col = {c: rows.column(c).to_numpy() for c in ("step", "pos", "entity", "score", "valid")}
+        order = np.lexsort((col["pos"], col["step"]))
+        at, entity, score = col["step"][order], col["entity"][order], np.where(col["valid"], col["score"], INVALID)[order].astype(float)
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+        steps = list(zip(cuts[:-1], cuts[1:], strict=True))
         if reorder:
-            steps.sort(key=lambda x: (-len(x[1]), x[0]))
+            steps.sort(key=lambda x: (x[0] - x[1], at[x[0]]))
         beams = [(0.0, ())]
-        for _, g in steps:
-            base = _log_softmax(np.where(g["valid"], g["score"], INVALID).astype(float))
-            entities = g["entity"].to_numpy()
-            flat = np.concatenate([b[0] + base - repeat_penalty * np.isin(entities, b[1]) for b in beams])
+        for lo, hi in steps:
+            base, own = _log_softmax(score[lo:hi]), entity[lo:hi]
+            flat = np.concatenate([b[0] + base - (repeat_penalty * np.isin(own, b[1]) if repeat_penalty else 0.0) for b in beams])
             top = np.argsort(-flat, kind="stable")[:width]
-            beams = [(float(flat[i]), (*beams[i // len(entities)][1], int(entities[i % len(entities)]))) for i in top]
-        score, path = beams[0]
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "step": [s for s, _ in steps], "entity": list(path), "score": score})
+            beams = [(float(flat[i]), (*beams[i // len(own)][1], int(own[i % len(own)]))) for i in top]
+        best, path = beams[0]
+        doc = rows.column("doc_id")[0].as_py()
+        return pa.table({"doc_id": pa.array([doc] * len(path), pa.int64()), "step": pa.array([int(at[lo]) for lo, _ in steps], pa.int64()), "entity": pa.array(path, pa.int64()), "score": pa.array([best] * len(path), pa.float64())})
 
-    return scores.groupBy("doc_id").applyInPandas(lambda frame: run(frame), "doc_id long, step long, entity long, score double")
+    slim = scores.select("doc_id", "step", "pos", "entity", "score", "valid")
+    return slim.groupBy("doc_id").applyInArrow(lambda rows: run(rows), "doc_id long, step long, entity long, score double")
 
 
 def viterbi_path(unary: np.ndarray, transition: np.ndarray) -> tuple[list[int], float]:

@@ -8,6 +8,8 @@ them; a bad node is never entered, though a seed that is bad is still expanded.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,7 @@ PROJECTIONS = (
 )
 
 
-def shortest_paths(edges: DataFrame, root: int, members: DataFrame, max_steps: int = 20, bad_nodes: DataFrame | None = None, bad_pairs: DataFrame | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, root: int, members: DataFrame, max_steps: int | None = None, bad_nodes: DataFrame | None = None, bad_pairs: DataFrame | None = None) -> DataFrame:
     """(idx, hops, path) for each member reached from ``root``: fewest hops, then relation order
     ``rel``, then place ``pos`` of each step; ``path`` alternates nodes and relation names.
 
@@ -161,7 +163,9 @@ def shortest_paths(edges: DataFrame, root: int, members: DataFrame, max_steps: i
     start = spark.createDataFrame([(root, [str(root)], [])], "idx long, path array<string>, rank array<int>")
     frontier = materialize(start, "paths")
     visited = frontier
-    for _ in range(max_steps):
+    for step in count():
+        if max_steps is not None and step >= max_steps:
+            break
         hop = frontier.join(edges, F.col("idx") == F.col("src")).select(
             F.col("src"), F.col("dst"), F.concat("path", F.array("prop", F.col("dst").cast("string"))).alias("path"), F.concat("rank", F.array(F.col("rel").cast("int"), F.col("pos").cast("int"))).alias("rank")
         )

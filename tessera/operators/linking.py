@@ -152,7 +152,8 @@ def realign(words: DataFrame, spans: DataFrame, last_only: bool = False) -> Data
 
 def dropout(tokens: DataFrame, lower: float, drop_s: float, blank: float, seed: int = 1) -> DataFrame:
     """Tokens changed at random, repeatably: to lower case, without a final s, or blank, each with its probability."""
-    u = lambda k: F.pmod(F.xxhash64("doc_id", "pos", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    digest = lambda k: F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.lit(f"{seed}:{k}")))
+    u = lambda k: F.conv(F.substring(digest(k), 1, 8), 16, 10).cast("long") / float(1 << 32)
     t = F.when(u(1) < lower, F.lower("raw")).otherwise(F.col("raw"))
     t = F.when((u(2) < drop_s) & F.rtrim(t).endswith("s"), F.regexp_replace(t, r"s(\s*)$", "$1")).otherwise(t)
     return tokens.withColumn("raw", F.when(u(3) < blank, F.lit("")).otherwise(t))

@@ -1,8 +1,10 @@
 """Search for a set of axes (class bits) that disambiguates best: beam, cross-entropy, genetic.
 
-A driver loop proposes sets of axes; each round's proposals are scored by one Spark job:
-mentions meet their candidates once, and every proposal is a mask over the bits.  What
-comes back is a number for each proposal.
+A driver loop proposes sets of axes; each round's proposals are scored by one Spark job.
+Whether a mention is solved depends on its anchor and label alone, so mentions are counted
+by those first; candidates of a pair that differ from the label in the same axes count as
+one row, with their number and their best.  Every proposal is a mask over the axes, and
+what comes back is a number for each proposal.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ class Problem:
         self.spark, self.aucs, self.known = mentions.sparkSession, aucs, {}
         mask = F.aggregate(F.transform("bits", lambda b, i: F.when(b, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
         coded = bits.select("entity", mask.alias("_m"))
-        rows = mentions.join(candidates, "anchor_id").join(coded, "entity").join(coded.select(F.col("entity").alias("label"), F.col("_m").alias("_want")), "label")
-        differs = F.col("_m").bitwiseXOR(F.col("_want"))
-        self.rows = materialize(rows.select("mention_id", "label", "entity", "cnt", "pos", differs.alias("differs")), "search")
+        pairs = mentions.groupBy("anchor_id", "label").agg(F.count(F.lit(1)).alias("w"))
+        rows = pairs.join(candidates, "anchor_id").join(coded, "entity").join(coded.select(F.col("entity").alias("label"), F.col("_m").alias("_want")), "label")
+        best = F.max(F.when(F.col("cnt") > 0, F.struct("cnt", (-F.col("pos")).alias("first"), "entity")))
+        self.rows = materialize(rows.groupBy("anchor_id", "label", "w", F.col("_m").bitwiseXOR(F.col("_want")).alias("differs")).agg(F.count(F.lit(1)).alias("n"), best.alias("best")), "search")
         self.total = mentions.count()
 
     def solved(self, proposals: list[Axes]) -> dict[Axes, int]:
@@ -33,9 +36,9 @@ class Problem:
         new = [p for p in dict.fromkeys(proposals) if p not in self.known]
         if new:
             masks = F.array(*[F.lit(sum(1 << a for a in p)).cast("long") for p in new])
-            left = self.rows.select("mention_id", "label", "entity", "cnt", "pos", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("differs")) == 0)).alias("p", "stays")).where("stays")
-            best = left.groupBy("p", "mention_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max_by("entity", F.when(F.col("cnt") > 0, F.struct(F.col("cnt"), -F.col("pos")))).alias("b"))
-            counts = {r.p: r.c for r in best.where("n = 1 or b = label").groupBy("p").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row a proposal
+            left = self.rows.select("anchor_id", "label", "w", "n", "best", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("differs")) == 0)).alias("p", "stays")).where("stays")
+            found = left.groupBy("p", "anchor_id", "label", "w").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+            counts = {r.p: r.c for r in found.where("n = 1 or best.entity = label").groupBy("p").agg(F.sum("w").alias("c")).collect()}  # a row a proposal
             self.known |= {p: counts.get(i, 0) for i, p in enumerate(new)}
         return {p: self.known[p] for p in proposals}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def _order(*by: str) -> Window:
@@ -100,18 +102,29 @@ def cumulative_share(weights: DataFrame) -> DataFrame:
 
 def length_batches(examples: DataFrame, batch_size: int, max_length: int) -> DataFrame:
     """``examples(group_id, pos, length)`` with ``batch``: a batch grows while its greatest length times its size stays
-    below max_length * batch_size and it has fewer than batch_size.  A fold over each group's ordered lengths."""
+    below max_length * batch_size and it has fewer than batch_size.
+
+    Where a batch ends depends on all before it in its group, so sorted rows are folded as they stream by: a group is
+    never held, only the open batch's size and greatest length.
+    """
     limit = max_length * batch_size
 
-    def step(a, x):
-        n, top = a["n"] + 1, F.greatest(a["top"], x["length"])
-        fits = (a["n"] == 0) | ((top * n < limit) & (n <= batch_size))
-        last = F.when(fits, a["batch"]).otherwise(a["batch"] + 1)
-        return F.struct(F.when(fits, n).otherwise(1).alias("n"), F.when(fits, top).otherwise(x["length"]).alias("top"), last.alias("batch"), F.array_append(a["out"], last).alias("out"))
+    def fold(batches):
+        group, n, top, batch = object(), 0, 0, 0
+        for part in batches:
+            out = []
+            for g, length in zip(part.column("group_id").to_pylist(), part.column("length").to_pylist(), strict=True):
+                if g != group:
+                    group, n, top, batch = g, 0, 0, 0
+                if n and not (max(top, length) * (n + 1) < limit and n < batch_size):
+                    n, top, batch = 0, 0, batch + 1
+                n, top = n + 1, max(top, length)
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=[*part.schema.names, "batch"])
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("top"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-    rows = examples.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("length").cast("long").alias("length")))).alias("l"))
-    return rows.select("group_id", F.inline(F.zip_with("l", F.aggregate("l", zero, step, lambda a: a["out"]), lambda x, b: F.struct(x["pos"].alias("pos"), x["length"].alias("length"), b.alias("batch")))))
+    rows = examples.select("group_id", "pos", F.col("length").cast("long").alias("length"))
+    schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
+    return rows.repartition("group_id").sortWithinPartitions("group_id", "pos").mapInArrow(fold, schema)
 
 
 def fair_chunks(sizes: DataFrame, n: int) -> DataFrame:
@@ -129,4 +142,5 @@ def fair_chunks(sizes: DataFrame, n: int) -> DataFrame:
 def shuffled(rows: DataFrame, key: str, seed: int, copies: int = 1) -> DataFrame:
     """Rows ``copies`` times in a hash-random, repeatable order (column ``order``)."""
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    return each.withColumn("order", F.xxhash64(F.col(key), F.col("copy"), F.lit(seed))).orderBy("order", key, "copy")
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("copy").cast("string"), F.lit(str(seed))))
+    return each.withColumn("order", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).orderBy("order", key, "copy")

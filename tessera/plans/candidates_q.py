@@ -30,9 +30,10 @@ def _(t):
     return C.pos_counts(C.mention_runs(t.sql(TAGGED)))
 
 
-@query("agg_incoming", f"{W} SELECT CAST(s_suppkey AS BIGINT) AS entity, CAST(coalesce(sum(cnt), 1) AS BIGINT) AS n FROM supplier LEFT JOIN c ON s_suppkey = entity AND anchor_id % 2 = 0 GROUP BY 1")
+@query("agg_incoming", f"{W} SELECT CAST(p_partkey AS BIGINT) AS entity, CAST(coalesce(sum(cnt), 1) AS BIGINT) AS n FROM part LEFT JOIN c ON p_partkey = entity GROUP BY 1")
 def _(t):
-    return C.incoming(t.sql(I.CANDIDATES).where("anchor_id % 2 = 0"), t.supplier.select(F.col("s_suppkey").alias("idx")))
+    # ids of parts beyond those of suppliers are entities that nothing links
+    return C.incoming(t.sql(I.CANDIDATES), t.part.select(F.col("p_partkey").alias("idx")))
 
 
 DUPED = f"SELECT anchor_id, CASE WHEN entity % 13 = 0 THEN -1 ELSE entity // 3 END AS entity, cnt, pos FROM ({I.CANDIDATES}) x"
@@ -73,9 +74,9 @@ def _(t):
     return C.extend_relations(t.sql(I.CANDIDATES).withColumn("alternative", F.col("entity") % 10 == 1), [{"reached": reached, "condition": everything, "promote": False}], keep_min=25)
 
 
-GROUPS = f"SELECT CAST(l_orderkey AS BIGINT) AS group_id, CAST(l_suppkey AS BIGINT) AS entity FROM ({I.LINE_ROWS}) l WHERE line <= 4 GROUP BY 1, 2"
+GROUPS = f"SELECT CAST(l_orderkey AS BIGINT) AS group_id, CAST(l_suppkey AS BIGINT) AS entity FROM ({I.LINE_ROWS}) l WHERE line % 3 <> 0 GROUP BY 1, 2"
 REL = "SELECT CAST(s_suppkey AS BIGINT) AS src, CAST((s_suppkey * 7) % 100 AS BIGINT) AS dst FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST((s_suppkey * 3) % 100 AS BIGINT) FROM supplier WHERE s_suppkey % 2 = 0"
-DESTS = f"SELECT CAST(l_orderkey AS BIGINT) AS group_id, CAST(l_suppkey AS BIGINT) AS entity FROM ({I.LINE_ROWS}) l WHERE line BETWEEN 5 AND 6 GROUP BY 1, 2"
+DESTS = f"SELECT CAST(l_orderkey AS BIGINT) AS group_id, CAST(l_suppkey AS BIGINT) AS entity FROM ({I.LINE_ROWS}) l WHERE line % 3 = 0 GROUP BY 1, 2"
 G = f"WITH g AS ({GROUPS}), r AS ({REL}), d AS ({DESTS})"
 
 
@@ -105,11 +106,9 @@ query("st_relation_to_past", _OR_EMPTY)(lambda t: C.find_by_relation(t.sql(GROUP
 query("udf_ids2ids", _OR_EMPTY)(lambda t: C.find_by_relation(t.sql(GROUPS), t.sql(DESTS).withColumn("step", F.lit(0)), t.sql(REL), related_or_empty=True))
 
 
-@query("join_related_broadcast", f"{G}, x AS (SELECT * FROM d), b AS (SELECT unnest([0, 1]) AS beam) SELECT beam, group_id, entity, related FROM ({_PAIR.format(more='', empty='')}), b WHERE group_id % 10 = beam")
+@query("join_related_broadcast", f"{G}, x AS (SELECT * FROM d), b AS (SELECT unnest([0, 1]) AS beam) SELECT beam, group_id, entity, related FROM ({_PAIR.format(more='', empty='')}), b")
 def _(t):
-    beams = t.spark.createDataFrame([(0,), (1,)], "beam int")
-    key = F.col("group_id") * 2 + F.col("beam")
-    spread = lambda df: df.join(F.broadcast(beams), F.col("group_id") % 10 == F.col("beam")).select(key.alias("group_id"), "entity")
+    spread = lambda df: df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("beam"), "group_id", "entity").select((F.col("group_id") * 2 + F.col("beam")).alias("group_id"), "entity")
     found = C.related_pair(spread(t.sql(GROUPS)), spread(t.sql(DESTS)), t.sql(REL))
     return found.select(F.pmod("group_id", F.lit(2)).cast("int").alias("beam"), F.expr("group_id div 2").alias("group_id"), "entity", "related")
 
@@ -124,28 +123,40 @@ def _(t):
 
 
 query("st_contemporary", ORACLES["join_contemporary"])(lambda t: C.contemporary(t.sql(PEOPLE), t.sql(PEOPLE)))
-MC = f"{W}, mc AS (SELECT mention_id, doc_id, step, entity, cnt FROM m JOIN c USING (anchor_id) WHERE entity % 20 = label % 20)"
+MC = f"{W}, mc AS (SELECT mention_id, doc_id, step, entity, cnt FROM m JOIN c USING (anchor_id))"
+#: Neighbouring mentions and their anchors.
+NEXT = f"{W}, n AS (SELECT doc_id, mention_id AS first, anchor_id AS a1, lead(mention_id) OVER w AS second, lead(anchor_id) OVER w AS a2 FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY step))"
 RANKS = "SELECT CAST(s_suppkey AS BIGINT) AS person, CAST((s_suppkey * 11) % 100 AS BIGINT) AS rank FROM supplier UNION SELECT CAST(s_suppkey AS BIGINT), CAST((s_suppkey + 40) % 100 AS BIGINT) FROM supplier"
 
 
-def _few(t):
-    return t.sql(I.MENTIONS).join(t.sql(I.CANDIDATES), "anchor_id").where("entity % 20 = label % 20").select("mention_id", "doc_id", "step", "entity", "cnt")
+def _all(t):
+    return t.sql(I.MENTIONS).join(t.sql(I.CANDIDATES), "anchor_id").select("mention_id", "doc_id", "step", "entity", "cnt")
 
 
-@query("join_rank_person", f"{MC}, r AS ({RANKS}), b AS (SELECT a.mention_id AS rm, a.entity AS rank, p.mention_id AS pm, p.entity AS person FROM mc a JOIN mc p ON a.doc_id = p.doc_id AND p.step = a.step + 1 JOIN r ON r.rank = a.entity AND r.person = p.entity), keep AS (SELECT rm AS mention_id, rank AS entity FROM b UNION SELECT pm, person FROM b) SELECT mention_id, entity FROM mc WHERE mention_id NOT IN (SELECT mention_id FROM keep) UNION ALL SELECT mention_id, entity FROM mc JOIN keep USING (mention_id, entity)")
+def _by_mention(rows):
+    """How many candidates each mention keeps, and the sum of their ids."""
+    return rows.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n"), F.sum("entity").alias("entities"))
+
+
+BY_MENTION = "SELECT mention_id, count(*) AS n, CAST(sum(entity) AS BIGINT) AS entities FROM {0} GROUP BY 1"
+
+
+@query("join_rank_person", f"{NEXT}, r AS ({RANKS}), b AS (SELECT first, a.entity AS rank, second, person FROM n JOIN c a ON a.anchor_id = a1 JOIN r ON r.rank = a.entity JOIN c p ON p.anchor_id = a2 AND p.entity = person), keep AS (SELECT first AS mention_id, rank AS entity FROM b UNION SELECT second, person FROM b), o AS (SELECT mention_id, entity FROM m JOIN c USING (anchor_id) WHERE mention_id NOT IN (SELECT mention_id FROM keep) UNION ALL SELECT * FROM keep) {BY_MENTION.format('o')}")
 def _(t):
-    return C.rank_person(t.sql(I.MENTIONS), _few(t), t.sql(RANKS))
+    return _by_mention(C.rank_person(t.sql(I.MENTIONS), _all(t), t.sql(RANKS)))
 
 
-@query("join_place_comma_place", f"{MC}, r AS (SELECT person AS entity, rank AS region FROM ({RANKS})) SELECT DISTINCT a.mention_id AS first, b.mention_id AS second, a.entity, r.region FROM mc a JOIN mc b ON a.doc_id = b.doc_id AND b.step = a.step + 1 AND a.doc_id % 2 = 0 JOIN r ON r.entity = a.entity AND r.region = b.entity")
+@query("join_place_comma_place", f"{NEXT}, r AS (SELECT person AS entity, rank AS region FROM ({RANKS})), o AS (SELECT DISTINCT first, second, a.entity, r.region FROM n JOIN c a ON a.anchor_id = a1 AND doc_id % 2 = 0 JOIN r ON r.entity = a.entity JOIN c b ON b.anchor_id = a2 AND b.entity = r.region) SELECT first, second, count(*) AS n, CAST(sum(entity * region) AS BIGINT) AS h FROM o GROUP BY 1, 2")
 def _(t):
     inside = t.sql(RANKS).select(F.col("person").alias("entity"), F.col("rank").alias("region"))
-    return C.place_comma_place(t.sql(I.MENTIONS).withColumn("comma_after", F.col("doc_id") % 2 == 0), _few(t), inside)
+    found = C.place_comma_place(t.sql(I.MENTIONS).withColumn("comma_after", F.col("doc_id") % 2 == 0), _all(t), inside)
+    return found.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("entity") * F.col("region")).alias("h"))
 
 
-@query("join_candidates", f"{W}, e AS (SELECT entity, CAST(sum(cnt) AS BIGINT) AS n FROM c GROUP BY 1) SELECT mention_id, entity, cnt, n AS entity_cnt FROM m JOIN c USING (anchor_id) JOIN e USING (entity) WHERE doc_id < 300")
+@query("join_candidates", f"{W}, e AS (SELECT entity, CAST(sum(cnt) AS BIGINT) AS n FROM c GROUP BY 1) SELECT mention_id, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(sum(n) AS BIGINT) AS entity_cnt FROM m JOIN c USING (anchor_id) JOIN e USING (entity) GROUP BY 1")
 def _(t):
-    return C.with_candidates(t.sql(I.MENTIONS).where("doc_id < 300"), t.sql(I.CANDIDATES), C.incoming(t.sql(I.CANDIDATES))).select("mention_id", "entity", "cnt", "entity_cnt")
+    found = C.with_candidates(t.sql(I.MENTIONS), t.sql(I.CANDIDATES), C.incoming(t.sql(I.CANDIDATES)))
+    return found.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"), F.sum("entity_cnt").alias("entity_cnt"))
 
 
 @query("join_classify", f"{W} SELECT mention_id, class_id FROM m JOIN k ON label = entity")
@@ -154,13 +165,13 @@ def _(t):
 
 
 
-@query("top_rank_entities", f"""{W}, mm AS (SELECT mention_id, anchor_id FROM m WHERE doc_id % 10 = 1), p AS (SELECT mention_id, cl AS class_id, ((mention_id * 7 + cl * 13) % 100) / 100.0::DOUBLE AS p FROM mm, (SELECT unnest([0, 1, 2, 3]) AS cl)),
+@query("top_rank_entities", f"""{W}, mm AS (SELECT mention_id, anchor_id FROM m), p AS (SELECT mention_id, cl AS class_id, ((mention_id * 7 + cl * 13) % 100) / 100.0::DOUBLE AS p FROM mm, (SELECT unnest([0, 1, 2, 3]) AS cl)),
 l AS (SELECT anchor_id, entity, cnt / sum(cnt) OVER (PARTITION BY anchor_id)::DOUBLE AS lp FROM c),
 s AS (SELECT mm.mention_id, l.entity, (0.001::DOUBLE + 0.999::DOUBLE * lp) * (0.49::DOUBLE + 0.51::DOUBLE * p.p) AS logit FROM mm JOIN l USING (anchor_id) JOIN k USING (entity) JOIN p ON p.mention_id = mm.mention_id AND p.class_id = k.class_id WHERE k.class_id <> 4),
 r AS (SELECT *, logit / sum(logit) OVER (PARTITION BY mention_id) AS prob, row_number() OVER (PARTITION BY mention_id ORDER BY round(logit, 12) DESC, entity) AS rank FROM s)
 SELECT mention_id, entity, CAST(rank AS INT) AS rank, round(logit, 7) AS logit, round(prob, 7) AS prob FROM r WHERE rank <= 5""")
 def _(t):
-    mentions = t.sql(I.MENTIONS).where("doc_id % 10 = 1")
+    mentions = t.sql(I.MENTIONS)
     probs = mentions.select("mention_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("class_id")).withColumn("p", F.expr("((mention_id * 7 + class_id * 13) % 100) / 100.0D"))
     found = C.rank_topk(mentions, t.sql(I.CANDIDATES), [{"classes": t.sql(I.SUPPLIER_CLASS), "probs": probs, "other": 4}])
     return found.select("mention_id", "entity", "rank", F.round("logit", 7).alias("logit"), F.round("prob", 7).alias("prob"))
@@ -176,17 +187,19 @@ def _(t):
     return C.disambiguate(t.sql(I.MENTIONS), t.sql(I.CANDIDATES), t.sql(I.SUPPLIER_CLASS).select("entity", F.array("class_id").alias("bits")))
 
 
-@query("flt_candidate_rules", f"{MC}, f AS (SELECT * FROM mc WHERE entity % 9 <> 0 AND entity % 2 = 0), w AS (SELECT mention_id, bool_or(entity % 8 = 2) AS town, arg_max(entity, cnt * 100000 - entity) FILTER (WHERE entity % 8 = 4) AS venue FROM f GROUP BY 1) SELECT mention_id, entity FROM f JOIN w USING (mention_id) WHERE NOT town OR entity % 8 <> 4 OR entity = venue")
+@query("flt_candidate_rules", f"{MC}, f AS (SELECT * FROM mc WHERE entity % 9 <> 0 AND entity % 2 = 0), w AS (SELECT mention_id, bool_or(entity % 8 = 2) AS town, arg_max(entity, cnt * 100000 - entity) FILTER (WHERE entity % 8 = 4) AS venue FROM f GROUP BY 1), o AS (SELECT mention_id, entity FROM f JOIN w USING (mention_id) WHERE NOT town OR entity % 8 <> 4 OR entity = venue) {BY_MENTION.format('o')}")
 def _(t):
     ids = t.supplier.select(F.col("s_suppkey").alias("entity"))
-    rows = C.only_listed(_few(t), ids.where("entity % 2 = 0"), ids.where("entity % 9 = 0"))
-    return C.town_rule(rows, ids.where("entity % 8 = 2"), ids.where("entity % 8 = 4")).select("mention_id", "entity")
+    rows = C.only_listed(_all(t), ids.where("entity % 2 = 0"), ids.where("entity % 9 = 0"))
+    return _by_mention(C.town_rule(rows, ids.where("entity % 8 = 2"), ids.where("entity % 8 = 4")))
 
 
-@query("smp_negative")
+@query("smp_negative", f"""{W}, u AS (SELECT mention_id, entity, label, cnt, (CAST('0x' || substr(md5(mention_id || ':' || entity || ':1'), 1, 10) AS BIGINT) + 1) / 1099511627777::DOUBLE AS u FROM m JOIN c USING (anchor_id)),
+r AS (SELECT mention_id, entity, row_number() OVER (PARTITION BY mention_id ORDER BY CASE WHEN entity = label THEN -1 ELSE -ln(u) / cnt END, entity) AS pos FROM u) SELECT mention_id, string_agg(CAST(entity AS VARCHAR), ',' ORDER BY pos) AS sampled FROM r WHERE pos <= 10 GROUP BY 1""")
 def _(t):
-    rows = t.sql(I.MENTIONS).join(t.sql(I.CANDIDATES), "anchor_id").where("doc_id < 500").select("mention_id", "entity", (F.col("entity") == F.col("label")).alias("is_label"), "cnt")
-    return C.sample_negatives(rows, 10, weight=F.col("cnt"))
+    rows = t.sql(I.MENTIONS).join(t.sql(I.CANDIDATES), "anchor_id").select("mention_id", "entity", (F.col("entity") == F.col("label")).alias("is_label"), "cnt")
+    found = F.array_sort(F.collect_list(F.struct("pos", F.col("entity").cast("string").alias("e"))))
+    return C.sample_negatives(rows, 10, weight=F.col("cnt")).groupBy("mention_id").agg(F.array_join(F.transform(found, lambda x: x["e"]), ",").alias("sampled"))
 
 
 @query("flt_example", f"{W}, n AS (SELECT anchor_id FROM c WHERE cnt > 40 GROUP BY 1 HAVING count(*) > 1) SELECT mention_id FROM m JOIN n USING (anchor_id)")
@@ -196,24 +209,44 @@ def _(t):
 
 
 AXES = 6
+AUCS = [0.9 - 0.05 * n for n in range(AXES)]
+PENALTY = 0.0005
 
 
 def _search(t):
-    mentions, cands = t.sql(I.MENTIONS).where("doc_id % 50 = 1"), t.sql(I.CANDIDATES)
     bits = t.supplier.select(F.col("s_suppkey").alias("entity"), F.array(*[(F.col("s_suppkey") % (n + 2) == 0) for n in range(AXES)]).alias("bits"))
-    return search.Problem(mentions, cands, bits, [0.9 - 0.05 * n for n in range(AXES)])
+    return search.Problem(t.sql(I.MENTIONS), t.sql(I.CANDIDATES), bits, AUCS)
+
+
+def _best(problem, found):
+    return problem.result(*found).select(F.array_join("axes", ",").alias("axes"), "solved", "total", F.round("score", 9).alias("score"))
+
+
+# with six axes a search can be held against all 64 sets: the best of them is what it has to find
+_MASK = " + ".join(f"CASE WHEN s_suppkey % {n + 2} = 0 THEN {1 << n} ELSE 0 END" for n in range(AXES))
+_AUC = " + ".join(f"CASE WHEN (s >> {n}) & 1 = 1 THEN {AUCS[n]!r} ELSE 0 END" for n in range(AXES))
+BEST_SET = f"""{W}, x AS (SELECT CAST(s_suppkey AS BIGINT) AS entity, {_MASK} AS mask FROM supplier), g AS (SELECT anchor_id, label, count(*) AS w FROM m GROUP BY 1, 2),
+d AS (SELECT anchor_id, label, w, xor(a.mask, b.mask) AS differs, count(*) AS n, max(cnt * 1000000 - pos) AS top, arg_max(c.entity, cnt * 1000000 - pos) AS best FROM g JOIN c USING (anchor_id) JOIN x a ON a.entity = c.entity JOIN x b ON b.entity = label GROUP BY ALL),
+f AS (SELECT s, anchor_id, label, w, sum(n) AS n, arg_max(best, top) AS best FROM d, (SELECT unnest(range(0, {1 << AXES})) AS s) WHERE s & differs = 0 GROUP BY ALL),
+v AS (SELECT s, sum(CASE WHEN n = 1 OR best = label THEN w ELSE 0 END) AS solved, bit_count(s) AS size FROM f GROUP BY s),
+o AS (SELECT s, size, solved, (SELECT count(*) FROM m) AS total, (SELECT solved FROM v WHERE s = 0) AS base, CASE WHEN size = 0 THEN 0 ELSE ({_AUC}) / size END AS auc FROM v),
+e AS (SELECT *, (base + (solved - base) * auc) / total::DOUBLE - {PENALTY} * size AS score FROM o)
+SELECT coalesce(array_to_string(list_filter(range(0, {AXES}), lambda i: (s >> i) & 1 = 1), ','), '') AS axes, CAST(solved AS BIGINT) AS solved, total, round(score, 9) AS score FROM e ORDER BY score DESC LIMIT 1"""
 
 
-@query("srch_beam")
+@query("srch_beam", BEST_SET)
 def _(t):
-    return _search(t).result(*search.beam(_search(t), width=3, penalty=0.001))
+    problem = _search(t)
+    return _best(problem, search.beam(problem, penalty=PENALTY))
 
 
-@query("srch_cem")
+@query("srch_cem", BEST_SET)
 def _(t):
-    return _search(t).result(*search.cross_entropy(_search(t), samples=12, iterations=4))
+    problem = _search(t)
+    return _best(problem, search.cross_entropy(problem, penalty=PENALTY))
 
 
-@query("srch_ga")
+@query("srch_ga", BEST_SET)
 def _(t):
-    return _search(t).result(*search.genetic(_search(t), population=8, generations=3))
+    problem = _search(t)
+    return _best(problem, search.genetic(problem, penalty=PENALTY))

@@ -92,7 +92,7 @@ def _(t):
     return A.dataset_tokens(t.sql(LABELLED))
 
 
-UE = f"SELECT doc_id, mention_id, m.anchor_id, entity, cnt, entity * 3 AS entity_cnt FROM ({I.MENTIONS}) m JOIN ({I.CANDIDATES}) c ON m.anchor_id = c.anchor_id WHERE doc_id < 200 AND entity % 10 = 0"
+UE = f"SELECT doc_id, mention_id, m.anchor_id, entity, cnt, entity * 3 AS entity_cnt FROM ({I.MENTIONS}) m JOIN ({I.CANDIDATES}) c ON m.anchor_id = c.anchor_id"
 
 
 @query("agg_unique_examples", f"WITH u AS ({UE}), o AS (SELECT doc_id, entity, count(DISTINCT anchor_id) AS repeat FROM u GROUP BY 1, 2) SELECT DISTINCT entity, cnt, CAST(total AS BIGINT) AS total, entity_cnt, repeat FROM (SELECT *, sum(cnt) OVER (PARTITION BY mention_id) AS total FROM u) JOIN o USING (doc_id, entity)")
@@ -100,7 +100,11 @@ def _(t):
     return A.unique_examples(t.sql(UE))
 
 
-query("num_repeat", f"WITH u AS ({UE}) SELECT doc_id, entity, count(DISTINCT anchor_id) > 1 AS repeated FROM u GROUP BY 1, 2")(lambda t: t.sql(UE).groupBy("doc_id", "entity").agg((F.count_distinct("anchor_id") > 1).alias("repeated")))
+@query("num_repeat", f"WITH u AS ({UE}), r AS (SELECT doc_id, entity, count(DISTINCT anchor_id) > 1 AS repeated FROM u GROUP BY 1, 2) SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE repeated) AS n_repeated FROM r GROUP BY 1")
+def _(t):
+    found = t.sql(UE).groupBy("doc_id", "entity").agg((F.count_distinct("anchor_id") > 1).alias("repeated"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("repeated").alias("n_repeated"))
+
 
 # metrics -----------------------------------------------------------------------------------
 PAIRS = "SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id % 4 AS label, CASE WHEN event_id % 7 < 5 THEN event_id % 4 ELSE event_id % 3 END AS pred, event_id % 5 <> 0 AS mask FROM events"
@@ -276,7 +280,11 @@ def _(t):
     return W.cumulative_share(t.sql(I.CANDIDATES).select(F.col("anchor_id").alias("group_id"), "pos", F.col("cnt").alias("weight"))).select("group_id", "pos", F.round("share", 9).alias("share"))
 
 
-@query("win_length_batches")
+@query("win_length_batches", f"""WITH RECURSIVE x AS (SELECT doc_id AS group_id, pos, length(token) + pos % 9 AS length FROM ({I.STEPS})),
+f AS (SELECT group_id, pos, length, 1 AS n, length AS top, 0 AS batch FROM x WHERE pos = 0 UNION ALL
+SELECT group_id, pos, length, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN greatest(top, length) ELSE length END, CASE WHEN fits THEN batch ELSE batch + 1 END
+FROM (SELECT x.*, f.n, f.top, f.batch, greatest(f.top, x.length) * (f.n + 1) < 80 AND f.n + 1 <= 8 AS fits FROM f JOIN x ON x.group_id = f.group_id AND x.pos = f.pos + 1))
+SELECT group_id, pos, CAST(length AS BIGINT) AS length, CAST(batch AS INT) AS batch FROM f""")
 def _(t):
     return W.length_batches(t.sql(I.STEPS).select(F.col("doc_id").alias("group_id"), "pos", (F.length("token") + F.col("pos") % 9).alias("length")), 8, 10)
 
@@ -291,9 +299,9 @@ def _(t):
     return t.events.select("event_id").orderBy("event_id").limit(100)
 
 
-@query("smp_shuffle")
+@query("smp_shuffle", "SELECT o_orderkey, CAST(copy AS INT) AS copy, CAST('0x' || substr(md5(o_orderkey || ':' || copy || ':3'), 1, 15) AS BIGINT) AS \"order\" FROM orders, (SELECT unnest([1, 2]) AS copy)")
 def _(t):
-    return W.shuffled(t.nation, "n_nationkey", 3, 2)
+    return W.shuffled(t.orders.select("o_orderkey"), "o_orderkey", 3, 2)
 
 
 @query("flt_doc_text", "SELECT doc_id FROM documents WHERE contains(lower(text), 'token')")
@@ -416,7 +424,7 @@ def _(t):
 
 
 # decoding and state ------------------------------------------------------------------------
-DS = f"SELECT doc_id, step, entity, CAST(row_number() OVER (PARTITION BY doc_id, step ORDER BY entity) - 1 AS INT) AS pos, CAST((entity * 31 + step * 7) % 97 AS DOUBLE) / 10 AS score, entity % 6 <> 0 AS valid FROM (SELECT DISTINCT doc_id, step, entity FROM ({I.MENTIONS}) m JOIN ({I.CANDIDATES}) c ON m.anchor_id = c.anchor_id WHERE doc_id < 400 AND (entity + label) % 10 = 0) x"
+DS = f"SELECT doc_id, step, entity, CAST(row_number() OVER (PARTITION BY doc_id, step ORDER BY entity) - 1 AS INT) AS pos, CAST((entity * 31 + step * 7) % 97 AS DOUBLE) / 10 AS score, entity % 6 <> 0 AS valid FROM (SELECT DISTINCT doc_id, step, entity FROM ({I.MENTIONS}) m JOIN ({I.CANDIDATES}) c ON m.anchor_id = c.anchor_id) x"
 
 
 @query("dec_greedy", f"WITH d AS ({DS}) SELECT doc_id, step, entity FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, step ORDER BY CASE WHEN valid THEN score ELSE -50 END DESC, pos) = 1")
@@ -434,18 +442,27 @@ def _(t):
     return D.beam(t.sql(DS), 4, reorder=True, repeat_penalty=0.5)
 
 
-@query("dec_viterbi")
+_TRANSITION = [[0.5, -0.2, 0.1], [0.0, 0.4, -0.3], [0.2, 0.1, 0.3]]
+_MOVES = ", ".join(f"({a}, {b}, {_TRANSITION[a][b]}::DOUBLE)" for a in range(3) for b in range(3))
+
+
+@query("dec_viterbi", f"""WITH RECURSIVE u AS (SELECT doc_id, pos, k, ((pos * (7 + k) + doc_id * k) % 11) / 3.0::DOUBLE AS s FROM ({I.STEPS}), (SELECT unnest([0, 1, 2]) AS k)), mv AS (SELECT * FROM (VALUES {_MOVES}) v(a, b, w)),
+f AS (SELECT doc_id, pos, k, s AS score, [k] AS path FROM u WHERE pos = 0 UNION ALL
+SELECT doc_id, pos, b, score + s, list_append(path, b) FROM (SELECT f.doc_id, u.pos, b, f.score + w AS score, u.s, f.path FROM f JOIN mv ON a = f.k JOIN u ON u.doc_id = f.doc_id AND u.pos = f.pos + 1 AND u.k = b
+QUALIFY row_number() OVER (PARTITION BY f.doc_id, b ORDER BY f.score + w DESC, a) = 1)),
+l AS (SELECT doc_id, path, score FROM f WHERE (doc_id, pos) IN (SELECT doc_id, max(pos) FROM u GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) = 1)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS step, CAST(path[i] AS INT) AS tag, round(score, 6) AS score FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM l)""")
 def _(t):
-    unary = t.sql(I.STEPS).where("doc_id < 50").select("doc_id", F.col("pos").alias("step"), F.array(*[F.expr(f"((pos * {7 + k} + doc_id * {k}) % 11) / 3.0D") for k in range(3)]).alias("scores"))
-    return D.viterbi(unary, [[0.5, -0.2, 0.1], [0.0, 0.4, -0.3], [0.2, 0.1, 0.3]])
+    unary = t.sql(I.STEPS).select("doc_id", F.col("pos").alias("step"), F.array(*[F.expr(f"((pos * {7 + k} + doc_id * {k}) % 11) / 3.0D") for k in range(3)]).alias("scores"))
+    return D.viterbi(unary, _TRANSITION).withColumn("score", F.round("score", 6))
 
 
-PK = "SELECT user_id AS doc_id, event_id AS pos, k AS class_id, (event_id * (k + 3)) % 23 AS score FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE event_id < 500"
+PK = "SELECT user_id AS doc_id, event_id AS pos, k AS class_id, (event_id * (k + 3)) % 23 AS score FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)"
 
 
 @query("top_predict_k", f"SELECT doc_id, pos, class_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, class_id) AS INT) AS rank FROM ({PK})) WHERE rank <= 2")
 def _(t):
-    rows = t.events.where("event_id < 500").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("class_id"))
+    rows = t.events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("class_id"))
     return D.topk_tags(rows.withColumn("score", (F.col("pos") * (F.col("class_id") + 3)) % 23), 2).select("doc_id", "pos", "class_id", "rank")
 
 
@@ -455,9 +472,10 @@ def _(t):
     return t.sql(DS).groupBy("doc_id", "step").agg(F.array_join(F.transform(ranked, lambda x: x["entity"].cast("string")), ",").alias("ranked"))
 
 
-@query("st_past_prediction", f"WITH d AS ({DS}), m AS ({I.MENTIONS}), f AS (SELECT doc_id, label AS entity, min(step) AS first FROM m GROUP BY 1, 2) SELECT d.doc_id, step, d.entity, coalesce(first < step, false) AS seen FROM d LEFT JOIN f ON d.doc_id = f.doc_id AND d.entity = f.entity")
+@query("st_past_prediction", f"WITH d AS ({DS}), m AS ({I.MENTIONS}), f AS (SELECT doc_id, label AS entity, min(step) AS first FROM m GROUP BY 1, 2) SELECT d.doc_id, step, count(*) AS n, count(*) FILTER (WHERE first < step) AS n_seen, CAST(coalesce(sum(d.entity) FILTER (WHERE first < step), 0) AS BIGINT) AS seen FROM d LEFT JOIN f ON d.doc_id = f.doc_id AND d.entity = f.entity GROUP BY 1, 2")
 def _(t):
-    return D.seen_before(t.sql(DS), t.sql(I.MENTIONS).select("doc_id", "step", F.col("label").alias("entity")))
+    found = D.seen_before(t.sql(DS), t.sql(I.MENTIONS).select("doc_id", "step", F.col("label").alias("entity")))
+    return found.groupBy("doc_id", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if("seen").alias("n_seen"), F.sum(F.when(F.col("seen"), F.col("entity")).otherwise(0)).alias("seen"))
 
 
 @query("st_last_prediction", f"WITH m AS ({I.MENTIONS}), l AS (SELECT doc_id, step, label, lag(label) OVER (PARTITION BY doc_id ORDER BY step) AS before FROM m) SELECT doc_id, step, CASE WHEN label % 4 = 0 OR coalesce(label % 3 = before % 3, false) THEN 0.0::DOUBLE ELSE -1000.0::DOUBLE END AS penalty FROM l")
@@ -473,6 +491,7 @@ def _(t):
     return m.select("doc_id", "step", D.list_consistent(F.col("doc_id") % 2 == 0, F.col("created"), F.col("last")).alias("consistent"))
 
 
-@query("st_candidate_callable", f"SELECT doc_id, step, entity, entity % 7 = 0 AS bit FROM ({DS})")
+@query("st_candidate_callable", f"SELECT doc_id, step, count(*) AS n, count(*) FILTER (WHERE entity % 7 = 0) AS n_bits FROM ({DS}) GROUP BY 1, 2")
 def _(t):
-    return t.sql(DS).select("doc_id", "step", "entity", (F.col("entity") % 7 == 0).alias("bit"))
+    bits = t.sql(DS).select("doc_id", "step", "entity", (F.col("entity") % 7 == 0).alias("bit"))
+    return bits.groupBy("doc_id", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if("bit").alias("n_bits"))

@@ -78,16 +78,18 @@ _PATHS = f"{E}, p(idx, hops, path) AS (SELECT CAST(0 AS BIGINT), 0, '0' UNION AL
 
 @query("gr_path", f"{_PATHS} SELECT idx, min(hops) AS hops FROM p WHERE idx IN (SELECT idx FROM ({DICT})) GROUP BY idx")
 def _(t):
-    found = G.shortest_paths(t.sql(I.RING).select("src", "dst", F.lit(0).alias("rel"), F.lit("next").alias("prop"), "pos"), 0, t.sql(DICT), max_steps=12)
+    found = G.shortest_paths(t.sql(I.RING).select("src", "dst", F.lit(0).alias("rel"), F.lit("next").alias("prop"), "pos"), 0, t.sql(DICT))
     return found.select("idx", "hops")
 
 
 NAMES = "SELECT CAST(n_nationkey AS BIGINT) AS idx, n_name AS name FROM nation"
 
 
-@query("gr_describe")
+@query("gr_describe", f"""WITH RECURSIVE ring AS ({I.RING}), n AS ({NAMES}), p(idx, hops, rank, text) AS (SELECT idx, 0, '', name FROM n WHERE idx = 0
+UNION ALL SELECT dst, hops + 1, rank || pos, text || ' --next-> ' || coalesce(name, CAST(dst AS VARCHAR)) FROM p JOIN ring ON src = p.idx LEFT JOIN n ON n.idx = dst WHERE hops < 12),
+b AS (SELECT idx, text FROM p QUALIFY row_number() OVER (PARTITION BY idx ORDER BY hops, rank) = 1) SELECT idx, text FROM b WHERE idx IN ({DICT})""")
 def _(t):
-    found = G.shortest_paths(t.sql(I.RING).select("src", "dst", F.lit(0).alias("rel"), F.lit("next").alias("prop"), "pos"), 0, t.sql(DICT), max_steps=12)
+    found = G.shortest_paths(t.sql(I.RING).select("src", "dst", F.lit(0).alias("rel"), F.lit("next").alias("prop"), "pos"), 0, t.sql(DICT))
     return G.describe(found, t.sql(NAMES))
 
 

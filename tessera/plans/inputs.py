@@ -31,19 +31,18 @@ SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey + 1) % 25 AS BIGINT
 UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST((n_nationkey * 2) % 25 AS BIGINT), 1 FROM nation WHERE n_nationkey % 3 = 0
 """
 RING_NODES = "SELECT CAST(n_nationkey AS BIGINT) AS idx FROM nation"
-#: Anchor candidates: a brand's suppliers, with how many lines link them.
+#: Anchor candidates: a part's suppliers; the quantity that its lines take from one is how often they link it.
 CANDIDATES = """
 SELECT anchor_id, entity, cnt, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY entity) - 1 AS INT) AS pos FROM (
-  SELECT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS anchor_id, CAST(l_suppkey AS BIGINT) AS entity, CAST(count(*) AS BIGINT) AS cnt
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_suppkey) c
+  SELECT CAST(l_partkey AS BIGINT) AS anchor_id, CAST(l_suppkey AS BIGINT) AS entity, CAST(sum(l_quantity) AS BIGINT) AS cnt FROM lineitem GROUP BY l_partkey, l_suppkey) c
 """
 #: Each supplier's class: its nation's region; region 4 counts as "other".
 SUPPLIER_CLASS = "SELECT CAST(s_suppkey AS BIGINT) AS entity, CAST(n_regionkey AS INT) AS class_id FROM supplier JOIN nation ON s_nationkey = n_nationkey"
-#: Mentions: an order's first three lines are its mentions, the part's brand is the anchor, the supplier the label.
+#: Mentions: an order's lines are its mentions, the part is the anchor, the supplier the label.
 MENTIONS = f"""
-SELECT CAST(l_orderkey * 10 + line AS BIGINT) AS mention_id, CAST(l_orderkey AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS step,
-       CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS anchor_id, CAST(l_suppkey AS BIGINT) AS label
-FROM ({LINE_ROWS}) l JOIN part ON l_partkey = p_partkey WHERE line <= 3
+SELECT CAST(l_orderkey * 1000000 + line AS BIGINT) AS mention_id, CAST(l_orderkey AS BIGINT) AS doc_id, CAST(line AS BIGINT) AS step,
+       CAST(l_partkey AS BIGINT) AS anchor_id, CAST(l_suppkey AS BIGINT) AS label
+FROM ({LINE_ROWS}) l
 """
 #: Sparse attributes of orders: absent where the key does not divide.
 ATTRIBUTES = """

@@ -89,9 +89,13 @@ def _(t):
     return L.realign(words, tags.withColumnRenamed("link", "label"), last_only=True).select("doc_id", F.col("pos").cast("long").alias("pos"), "label")
 
 
-@query("str_dropout")
+def _u(k: int) -> str:
+    return f"CAST('0x' || substr(md5(doc_id || ':' || pos || ':1:{k}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("str_dropout", f"WITH w AS ({WORDS}), a AS (SELECT doc_id, pos, CASE WHEN {_u(1)} < 0.3 THEN lower(token) ELSE token END AS t FROM w), b AS (SELECT doc_id, pos, CASE WHEN {_u(2)} < 0.3 AND ends_with(t, 's') THEN left(t, -1) ELSE t END AS t FROM a) SELECT doc_id, pos, CASE WHEN {_u(3)} < 0.1 THEN '' ELSE t END AS token FROM b")
 def _(t):
-    return L.dropout(_tokens(t), 0.3, 0.3, 0.1)
+    return L.dropout(_tokens(t), 0.3, 0.3, 0.1).select("doc_id", F.col("pos").cast("int").alias("pos"), F.rtrim("raw").alias("token"))
 
 
 # post-processing ---------------------------------------------------------------------------
@@ -154,9 +158,9 @@ def _(t):
     return t.spark.read.parquet(path).where(F.col("anchor").startswith("b"))
 
 
-@query("snk_token_tsv", "SELECT user_id, count(*) AS n_tokens FROM events WHERE user_id < 20 GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 4 = 0) > 0")
+@query("snk_token_tsv", "SELECT user_id, count(*) AS n_tokens FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 4 = 0) > 0")
 def _(t):
-    rows = t.events.where("user_id < 20").select(F.col("user_id").alias("doc_id"), F.lit(0).alias("para"), F.col("event_id").alias("pos"), F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("token"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Q"), F.col("event_id").cast("string"))).alias("qid"), F.lit(None).cast("string").alias("context_qid"), F.lit(None).cast("long").alias("anchor_id"))
+    rows = t.events.select(F.col("user_id").alias("doc_id"), F.lit(0).alias("para"), F.col("event_id").alias("pos"), F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("token"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Q"), F.col("event_id").cast("string"))).alias("qid"), F.lit(None).cast("string").alias("context_qid"), F.lit(None).cast("long").alias("anchor_id"))
     path = _path(t, "tsv")
     sinks.write_token_tsv(rows, path)
     found = S.token_tsv(t.spark, path)
@@ -222,11 +226,11 @@ def _(t):
 
 
 # learned pooled states: given weights, folded over a document's steps -----------------------
-VECS = "SELECT label AS doc_id, vec_id AS step, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT label, vec_id, embedding, unnest(range(0, 4)) AS i FROM embeddings)"
+VECS = "SELECT label AS doc_id, vec_id AS step, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT label, vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)"
 
 
 def _vectors(t):
-    return t.embeddings.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("step"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x")).select("doc_id", "step", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+    return t.embeddings.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("step"), F.posexplode("embedding").alias("i", "x")).select("doc_id", "step", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 @query("st_max_entities", f"SELECT doc_id, step, i, round(max(x) OVER (PARTITION BY doc_id, i ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS state FROM ({VECS})")
@@ -246,8 +250,8 @@ def _(t):
 def _(t):
     from tessera.operators.decode import recurrent_state
 
-    rows = t.embeddings.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("step"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("vec"))
-    return recurrent_state(rows, 4, seed=1)
+    rows = t.embeddings.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("step"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return recurrent_state(rows, 64, seed=1)
 
 
 # streams (an extension) --------------------------------------------------------------------
@@ -269,6 +273,6 @@ def _(t):
     return found.select(F.unix_timestamp("start").alias("start"), "token", "n")
 
 
-@query("stream_gap_sessions")
+@query("stream_gap_sessions", "WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, s")
 def _(t):
-    return C.drain(C.gap_sessions(_event_files(t), "ts", "30 minutes", "10000 days"))
+    return C.drain(C.gap_sessions(_event_files(t), "ts", "30 minutes", "10000 days")).select("user_id", F.unix_micros("start").alias("start"), "n")

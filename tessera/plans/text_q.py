@@ -164,12 +164,9 @@ def _(t):
     return R.transition(stale, moves, options)
 
 
-LETTERS = "SELECT DISTINCT substr(text, 1, 40) AS s FROM documents"
-
-
-@query("str_asciify", f"SELECT s, translate(replace(s, 'i̇', 'i'), '{T.PLAIN_FROM}', '{T.PLAIN_TO}') AS plain FROM ({LETTERS})")
+@query("str_asciify", f"SELECT doc_id, md5(translate(replace(text, 'i̇', 'i'), '{T.PLAIN_FROM}', '{T.PLAIN_TO}')) AS plain FROM documents")
 def _(t):
-    return t.sql(LETTERS).select("s", T.plain_letters(F.col("s")).alias("plain"))
+    return t.documents.select("doc_id", F.md5(T.plain_letters(F.col("text"))).alias("plain"))
 
 
 @query("str_wiki_prefix", "SELECT lang, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang || 'wiki' END AS wiki FROM (SELECT DISTINCT lang FROM documents UNION SELECT 'xx')")
@@ -208,15 +205,15 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("k"), f.alias("f")).select("k", "f.suffix", "f.prefix", "f.lower", "f.is_digit", F.col("f.n_punctuation").cast("long").alias("n_punctuation"), "f.first_upper")
 
 
-@query("str_byte_features")
+@query("str_byte_features", "WITH h AS (SELECT doc_id, hex(encode(substr(text, 1, 6))) AS h FROM documents), b AS (SELECT doc_id, [255] || list_transform(range(0, least(length(h) // 2, 6)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INT)) || [256] AS b FROM h) SELECT doc_id, array_to_string(list_resize(b, 8, -1), ',') AS bytes FROM b")
 def _(t):
-    return t.documents.select("doc_id", T.token_features(F.substring("text", 1, 6)).getField("bytes").alias("bytes"))
+    return t.documents.select("doc_id", F.array_join(T.token_features(F.col("text")).getField("bytes"), ",").alias("bytes"))
 
 
 # sources -----------------------------------------------------------------------------------
-def _text(t, rows, name: str) -> str:
+def _text(t, rows, name: str, files: int | None = 1) -> str:
     path = f"{shared_folder(t.spark)}/tessera/src-{uuid.uuid4().hex}/{name}"
-    rows.coalesce(1).write.text(path)
+    (rows.coalesce(files) if files else rows).write.text(path)
     return path
 
 
@@ -291,20 +288,23 @@ def _(t):
     return S.property_names(t.spark, _text(t, line, "names.json"))
 
 
-STREAM = "SELECT user_id, event_id, event_type, row_number() OVER (ORDER BY user_id, event_id) AS n FROM events WHERE user_id < 20"
+STREAM = "SELECT user_id, event_id, event_type, row_number() OVER (ORDER BY user_id, event_id) AS n FROM events"
 
 
 @query("src_tsv_dataset", f"WITH s AS ({STREAM}), e AS (SELECT user_id, min(n) AS first, count(*) AS n_tokens, count(*) FILTER (WHERE event_id % 4 = 0) AS n_labels FROM s GROUP BY 1) SELECT user_id, n_tokens, n_labels FROM e WHERE n_labels > 0")
 def _(t):
     rows = t.sql(STREAM).select("n", F.concat(F.concat_ws("_", "event_type", F.col("user_id").cast("string")), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("\tQ"), F.col("event_id").cast("string"))).otherwise("")).alias("value"), "user_id")
     ends = rows.groupBy("user_id").agg((F.max("n") + 0.5).alias("n"), F.lit("").alias("value")).select("n", "value", "user_id")
-    lines = rows.select(F.col("n").cast("double").alias("n"), "value").union(ends.select("n", "value")).coalesce(1).sortWithinPartitions("n").select("value")
-    found = S.token_tsv(t.spark, _text(t, lines, "tokens.tsv"))
+    # several files, each with whole users in order
+    lines = rows.select(F.col("n").cast("double").alias("n"), "value", "user_id").union(ends).repartitionByRange(4, "user_id").sortWithinPartitions("n").select("value")
+    found = S.token_tsv(t.spark, _text(t, lines, "tokens.tsv", None))
     labels = F.size(F.filter("tokens", lambda x: x["label"].isNotNull())).cast("long")
     return found.select(F.substring_index(F.get("tokens", F.lit(0))["token"], "_", -1).cast("long").alias("user_id"), F.size("tokens").cast("long").alias("n_tokens"), labels.alias("n_labels"))
 
 
-@query("src_aida")
+@query("src_aida", f"""WITH s AS ({STREAM}), r AS (SELECT n, event_type, event_id, event_id % 4 = 0 AS tagged, lag(event_id % 4 = 0) OVER (ORDER BY n) AS before FROM s),
+g AS (SELECT *, sum(CASE WHEN tagged OR before IS NULL OR before THEN 1 ELSE 0 END) OVER (ORDER BY n) AS span FROM r)
+SELECT CAST(1 AS BIGINT) AS doc, CAST(span AS BIGINT) AS span, string_agg(event_type, ' ' ORDER BY n) AS text, max(CASE WHEN tagged THEN CAST(event_id AS VARCHAR) END) AS key FROM g GROUP BY span""")
 def _(t):
     rows = t.sql(STREAM).select("n", F.when(F.col("event_id") % 4 == 0, F.concat_ws("\t", "event_type", F.lit("B"), F.lit("m"), F.lit("x"), F.lit("t"), F.col("event_id").cast("string"))).otherwise(F.col("event_type")).alias("value"))
     lines = t.spark.createDataFrame([("-DOCSTART- (1)",)], "value string").coalesce(1).union(rows.coalesce(1).sortWithinPartitions("n").select("value"))

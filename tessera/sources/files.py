@@ -147,9 +147,9 @@ def tac_json(spark: SparkSession, path: str) -> DataFrame:
 
 def wikiannot(spark: SparkSession, path: str) -> DataFrame:
     """Links of alternating text and tag lines (tags: anchor TAB page id ...), as ``query_docs``; both
-    sides are compared as lower-case plain letters, spans are places in the text."""
+    sides are compared as lower-case plain letters, spans are places in the text; the id is (file, line)."""
     lines = numbered_lines(spark, path)
-    pairs = lines.groupBy("file", F.floor(F.col("n") / 2).alias("id")).agg(F.max(F.when(F.col("n") % 2 == 0, F.col("value"))).alias("doc"), F.max(F.when(F.col("n") % 2 == 1, F.col("value"))).alias("tags"))
+    pairs = lines.groupBy(F.struct("file", F.floor(F.col("n") / 2).alias("line")).alias("id")).agg(F.max(F.when(F.col("n") % 2 == 0, F.col("value"))).alias("doc"), F.max(F.when(F.col("n") % 2 == 1, F.col("value"))).alias("tags"))
     f = F.split("tags", "\t")
     tags = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(f) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.lower(T.plain_letters(F.get(f, 2 * i))).alias("text"), F.get(f, 2 * i + 1).alias("entity")))
     return query_docs(pairs.select("id", F.lower(T.plain_letters(F.col("doc"))).alias("doc"), F.filter(tags, lambda q: q["entity"].isNotNull()).alias("queries")))
