@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .mixing import DIGITS, SEED
 from .quality_rules import ALPHA, COST, DELTA, LEVELS
-from .url_rules import CONFIDENCE, LEAST, RULES, SUPPORT
+from .url_rules import CONFIDENCE, LEAST, LIFT, RULES, SOURCES, SUPPORT
 
 #: Blank characters as a regular-expression class body (space, TAB to CR).
 _B = r"\x20\x09-\x0D"
@@ -94,9 +94,9 @@ FROM marked GROUP BY doc_id
 def _op6() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     return rf"""
-WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (
-  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
 rules AS (SELECT * FROM (VALUES {rules}) r(name, start, verdict)),
 fits AS (
@@ -104,20 +104,28 @@ fits AS (
   ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) ORDER BY host, path, length(name || start) DESC),
 parts AS (
   SELECT s.*, f.rule, f.verdict, list_reverse(list_filter(string_split(host, '.'), lambda x: x <> '')) AS labels,
-         regexp_extract(path, '^/([^/]*)/', 1) AS dir, regexp_extract(path, '\.([A-Za-z0-9]{{1,5}})$', 1) AS ending
+         string_split(regexp_extract(path, '^/(.*)/', 1), '/') AS dirs, regexp_extract(path, '([^/]*)$', 1) AS file,
+         string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '&') AS query
   FROM split s LEFT JOIN fits f USING (host, path)),
 sets AS (
-  SELECT page_id, host, path, rule, verdict, list_sort(list_distinct(list_transform(labels, lambda x, i: 'h' || i || '=' || x)
+  SELECT page_id, host, path, rule, verdict, CAST(substr(md5(url), 1, 1) >= '8' AS INT) AS fold, list_sort(list_distinct(list_transform(labels, lambda x, i: 'h' || i || '=' || x)
     || list_transform(list_filter(flatten(list_transform(labels, lambda x: CASE WHEN contains(x, '-') THEN string_split(x, '-') ELSE [] END)), lambda w: w <> ''), lambda w: 'word=' || w)
-    || CASE WHEN dir <> '' THEN ['dir=' || dir] ELSE [] END || CASE WHEN ending <> '' THEN ['end=' || ending] ELSE [] END)) AS t
+    || list_filter(list_transform(dirs, lambda x, i: CASE WHEN x <> '' THEN 'dir' || i || '=' || x END), lambda x: x IS NOT NULL)
+    || list_transform(regexp_extract_all(lower(regexp_replace(file, '\.[A-Za-z0-9]{{1,5}}$', '')), '[a-z]{{2,}}'), lambda x: 'file=' || x)
+    || list_transform(list_filter([regexp_extract(file, '\.([A-Za-z0-9]{{1,5}})$', 1)], lambda x: x <> ''), lambda x: 'end=' || x)
+    || list_transform(list_filter(list_transform(query, lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> ''), lambda x: 'key=' || x))) AS t
   FROM parts),
 subsets AS (
-  SELECT page_id, verdict, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
-  FROM (SELECT page_id, verdict, t, unnest(range(1, 1 << len(t))) AS m FROM sets)),
-n AS (SELECT count(*) AS n FROM sets WHERE verdict IS NOT NULL AND (len(t) > 0 OR verdict = 'block')),
+  SELECT page_id, rule, verdict, fold, list_filter(t, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
+  FROM (SELECT page_id, rule, verdict, fold, t, unnest(range(1, 1 << len(t))) AS m FROM sets)),
+n AS (SELECT count(*) FILTER (WHERE fold = 0) AS n, avg(CAST(verdict = 'block' AS INT)) FILTER (WHERE fold = 1) AS share FROM sets WHERE verdict IS NOT NULL AND len(t) > 0),
+counted AS (
+  SELECT items, count(*) FILTER (WHERE fold = 0) AS n0, count(*) FILTER (WHERE fold = 0 AND verdict = 'block') AS b0, count(*) FILTER (WHERE fold = 1) AS n1,
+         count(*) FILTER (WHERE fold = 1 AND verdict = 'block') AS b1, count(DISTINCT rule) FILTER (WHERE verdict = 'block') AS sources
+  FROM subsets WHERE verdict IS NOT NULL GROUP BY items),
 mined AS (
-  SELECT items FROM subsets, n WHERE verdict IS NOT NULL GROUP BY items, n
-  HAVING count(*) FILTER (WHERE verdict = 'block') >= greatest(ceil({SUPPORT} * n), {LEAST}) AND count(*) FILTER (WHERE verdict = 'block') / count(*)::DOUBLE >= {CONFIDENCE}),
+  SELECT items FROM counted, n WHERE b0 >= greatest(ceil({SUPPORT} * n), {LEAST}) AND n0 > 0 AND n1 > 0 AND b0 / n0::DOUBLE >= {CONFIDENCE}
+    AND b1 / n1::DOUBLE >= {CONFIDENCE} AND b1 / n1::DOUBLE >= {LIFT} * share AND sources >= {SOURCES}),
 blocked AS (SELECT DISTINCT page_id FROM subsets JOIN mined USING (items))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN page_id IN (SELECT page_id FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM sets
 """
