@@ -175,9 +175,9 @@ def _(t):
 @query("snk_jobs_cache", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
 def _(t):
     make = lambda: t.customer.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
-    settings = {"what": "segments", "from": t.folder}
-    sinks.cached(t.spark, settings, make)
-    return sinks.cached(t.spark, settings, make)
+    settings, inputs = {"what": "segments", "from": t.folder}, (f"{t.folder}/customer.parquet",)
+    sinks.cached(t.spark, settings, make, inputs)
+    return sinks.cached(t.spark, settings, make, inputs)
 
 
 # hooks and settings ------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +44,31 @@ def html_rows(examples: DataFrame) -> DataFrame:
     return examples.select("doc_id", F.concat(F.lit('<tr class="'), mark, F.lit('"><td>'), esc("text"), F.lit("</td><td>"), esc("predicted"), F.lit("</td><td>"), esc("label"), F.lit("</td></tr>")).alias("html"))
 
 
-def cached(spark: SparkSession, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives, stored under a hash of the settings: computed once, read after that."""
-    path = f"{shared_folder(spark)}/tessera/cache-{nested_hash(settings)}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        make().write.mode("overwrite").parquet(path)
+def stamp(spark: SparkSession, path: str) -> list:
+    """Name, size and time of the file at ``path``, or of each file below it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    walk, found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while walk.hasNext():
+        f = walk.next()
+        found.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(found)
+
+
+def cached(spark: SparkSession, settings: dict, make: Callable[[], DataFrame], inputs: tuple[str, ...] = ()) -> DataFrame:
+    """The table that ``make`` gives, stored under a hash of the settings and of what files lie at ``inputs``:
+    computed once, read after that, anew when an input has changed.  It is written under another name and moved
+    whole; of two writers the first wins."""
+    path = f"{shared_folder(spark)}/tessera/cache-{nested_hash(settings | {'_inputs': [stamp(spark, p) for p in inputs]})}"
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    final, draft = fs.Path(path), fs.Path(f"{path}-{uuid.uuid4().hex}")
+    system = final.getFileSystem(conf)
+    if not system.exists(final):
+        make().write.parquet(draft.toString())
+        try:
+            none = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+            fs.FileContext.getFileContext(system.makeQualified(draft).toUri(), conf).rename(system.makeQualified(draft), system.makeQualified(final), none)
+        except Exception:
+            system.delete(draft, True)
+            if not system.exists(final):
+                raise
     return spark.read.parquet(path)

@@ -13,10 +13,14 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, the warehouse on a cluster, and a folder of our own in local mode (as in tests)."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode (as in tests), and on
+    a cluster the warehouse, if that is no driver's own disk: each executor would write to its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and spark.sparkContext.master.split("[")[0] != "local":
         found = spark.conf.get("spark.sql.warehouse.dir")
+        where = spark._jvm.org.apache.hadoop.fs.Path(found)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tessera-shared-"))
@@ -36,7 +40,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     there, so neither a lost executor nor a second use computes ``df`` again."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_at = path
+    return found
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing reads it any more (a round that the next has replaced)."""
+    spark, path = df.sparkSession, df._written_at
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove((spark, path))
 
 
 @atexit.register

@@ -31,12 +31,17 @@ def gap_sessions(stream: DataFrame, time: str, gap: str, late: str) -> DataFrame
     return rows.groupBy(F.session_window(time, gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def drain(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return its last output."""
-    spark, name = result.sparkSession, f"drained_{uuid.uuid4().hex}"
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/tessera/stream-{name}").trigger(availableNow=True).start()
+def drain(result: DataFrame) -> DataFrame:
+    """Run a stream over all that is there now and return its last complete output, from files of the shared
+    folder: each batch writes its state's table whole, the last one's stays."""
+    spark, path = result.sparkSession, f"{shared_folder(result.sparkSession)}/tessera/stream-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out")
+
+    query = result.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(f"{path}/out")
 
 
 def drain_to_files(result: DataFrame) -> DataFrame:

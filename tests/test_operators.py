@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.functions import numeric, text
 from tessera.operators import candidates, decode, geo, linking, search, windows
-from tessera.sources import files
+from tessera.sources import files, sinks
 
 
 def test_rank_topk_golden(spark):
@@ -112,6 +113,86 @@ def test_beam_is_exact_when_wide_enough(spark):
     assert tuple(r.entity for r in got) == best and got[0].score == pytest.approx(value(best))
 
 
+def plain_beam(doc, width, reorder, penalty):
+    """Beams of one document as {step: [(entity, score, valid) by pos]}, extended candidate by candidate."""
+    steps = sorted(doc, key=lambda s: (-len(doc[s]), s)) if reorder else sorted(doc)
+    beams = [(0.0, [])]
+    for s in steps:
+        values = [x if ok else decode.INVALID for _, x, ok in doc[s]]
+        total = math.log(sum(math.exp(v - max(values)) for v in values)) + max(values)
+        grown = [(b + v - total - penalty * (e in path), [*path, e]) for b, path in beams for (e, _, _), v in zip(doc[s], values)]
+        beams = sorted(grown, key=lambda x: -x[0])[:width]
+    return dict(zip(steps, beams[0][1])), beams[0][0]
+
+
+@pytest.mark.parametrize("reorder", [False, True])
+def test_beam_against_plain_loops(spark, reorder):
+    rng = np.random.default_rng(9)
+    docs = {d: {s: [(int(e), float(rng.normal()), bool(rng.random() < 0.8)) for e in rng.choice(9, rng.integers(1, 6), replace=False)] for s in range(rng.integers(1, 5))} for d in range(25)}
+    rows = [(d, s, p, e, x, ok) for d, doc in docs.items() for s, own in doc.items() for p, (e, x, ok) in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, step long, pos int, entity long, score double, valid boolean")
+    got = {}
+    for r in decode.beam(df, 3, reorder=reorder, repeat_penalty=0.7).collect():
+        got.setdefault(r.doc_id, {})[r.step] = (r.entity, r.score)
+    for d, doc in docs.items():
+        path, score = plain_beam(doc, 3, reorder, 0.7)
+        assert {s: e for s, (e, _) in got[d].items()} == path
+        assert all(x == pytest.approx(score) for _, x in got[d].values())
+
+
+def test_recurrent_state_against_plain_loops(spark):
+    rng, width = np.random.default_rng(2), 3
+    vecs = {d: rng.normal(size=(4, width)).tolist() for d in range(3)}
+    df = spark.createDataFrame([(d, s, v) for d, own in vecs.items() for s, v in enumerate(own)], "doc_id long, step long, vec array<double>")
+    got = {(r.doc_id, r.step): r.state for r in decode.recurrent_state(df, width, seed=4).collect()}
+    w = np.random.default_rng(4)
+    a, b = w.normal(0, 0.3, (width, 4 * width)), w.normal(0, 0.3, (width, 4 * width))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for d, own in vecs.items():
+        h, c = [0.0] * width, [0.0] * width
+        for s, v in enumerate(own):
+            assert got[d, s] == pytest.approx(h)
+            z = [sum(v[i] * a[i][j] + h[i] * b[i][j] for i in range(width)) for j in range(4 * width)]
+            c = [sigmoid(z[width + j]) * c[j] + sigmoid(z[j]) * math.tanh(z[3 * width + j]) for j in range(width)]
+            h = [sigmoid(z[2 * width + j]) * math.tanh(c[j]) for j in range(width)]
+
+
+def test_log_mean_exp_does_not_overflow(spark):
+    df = spark.createDataFrame([(1, 0, [800.0, -800.0]), (1, 1, [801.0, -801.0])], "segment int, pos int, vec array<double>")
+    both = numeric.pool(df, "lme").first().vec
+    assert both == pytest.approx([801 + math.log((1 + math.exp(-1)) / 2), -800 + math.log((1 + math.exp(-1)) / 2)])
+
+
+def test_cache_follows_its_inputs(spark, tmp_path):
+    one = str(tmp_path / "in")
+    spark.range(3).write.parquet(one)
+    read = lambda: sinks.cached(spark, {"what": "count", "run": str(tmp_path)}, lambda: spark.read.parquet(one).groupBy().count(), (one,)).first()[0]
+    assert (read(), read()) == (3, 3)
+    spark.range(5).write.mode("overwrite").parquet(one)
+    assert read() == 5
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default=None: {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}.get(name, default))
+
+        _jvm, _jsc = spark._jvm, spark._jsc
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Cluster)
+
+
+def test_annotations_of_several_files(spark, tmp_path):
+    for i, name in enumerate(("a", "b")):
+        (tmp_path / f"{name}.txt").write_text(f"We saw Paris{i}.\nparis{i}\t{i}\n")
+    rows = files.wikiannot(spark, str(tmp_path)).orderBy("entity").collect()
+    assert [(r.text, r.entity, r.start) for r in rows] == [("paris0", "0", 7), ("paris1", "1", 7)] and rows[0].id != rows[1].id
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(4)
     unary, trans = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
