@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize, new_path, shared_folder  # noqa: F401  (for the operators)
+from tessera.storage import drop, materialize, new_path, shared_folder  # noqa: F401  (for the operators)
 
 #: Characters that separate words, as a regular-expression class body (space, TAB to CR).
 BLANK = r"\x20\x09-\x0D"

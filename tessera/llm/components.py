@@ -2,7 +2,11 @@
 
 No group is ever collected: each step is a grouped minimum and an equi-join, so a hub
 costs its own edges only (adaptive execution splits its part of the join).  Each round
-ends in a table of the shared folder.
+ends in a table of the shared folder; the round before is removed then.
+
+Defined results: links with a null end are none; repeated links and links to itself change
+nothing; without links there are no rows; more than ``most_rounds`` rounds raise (some
+log2 of the longest chain are needed).
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,8 +43,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         if not before["n"]:
             break
-        now = materialize(_small_star(_large_star(now)), "links")
+        done, now = now, materialize(_small_star(_large_star(now)), "links")
         after = _mark(now)
+        drop(done)
         if after == before:
             break
         before = after
