@@ -2,7 +2,7 @@
 
 Every round is one equi-join of the frontier with the edges, a ``distinct`` and an anti-join
 with what was visited, ended by a table in the shared folder (lineage does not grow, and a
-lost executor costs one round).  A bad pair (child, ancestor) removes the edge between
+lost executor costs one round).  A closure writes its edges once, dealt by source.  A bad pair (child, ancestor) removes the edge between
 them; a bad node is never entered, though a seed that is bad is still expanded.
 """
 
@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import bucketed, materialize
 
 from . import aggregates, relations
 
@@ -39,17 +39,31 @@ def successors(edges: DataFrame, active: DataFrame, bad_pairs: DataFrame | None
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_steps: int | None = None, bad_nodes: DataFrame | None = None, bad_pairs: DataFrame | None = None) -> DataFrame:
-    """Closure: (idx, step) of all nodes reached from the seeds (step 0, unless bad) in at most ``max_steps`` hops."""
+    """Closure: (idx, step) of all nodes reached from the seeds (step 0, unless bad) in at most ``max_steps`` hops.
+
+    Edges into bad nodes and of bad pairs go first, once.  What is left is written bucketed by source, so that a
+    round deals its frontier and what that finds, not the edges; nodes found before are left out by an anti-join.
+    """
+    hops = edges.select("src", "dst").distinct()
+    if bad_pairs is not None:
+        hops = hops.join(bad_pairs.select(F.col("child").alias("dst"), F.col("ancestor").alias("src")), ["src", "dst"], "left_anti")
+    if bad_nodes is not None:
+        hops = hops.join(bad_nodes.select(F.col("idx").alias("dst")), "dst", "left_anti")
     frontier = materialize(seeds.select(F.col("idx").cast("long").alias("idx")).distinct(), "frontier")
-    visited, parts, step = frontier, [frontier.withColumn("step", F.lit(0))], 0
-    while (max_steps is None or max_steps < 0 or step < max_steps) and not frontier.isEmpty():
-        step += 1
-        found = successors(edges, frontier, bad_pairs).join(visited, "idx", "left_anti")
-        if bad_nodes is not None:
-            found = found.join(bad_nodes, "idx", "left_anti")
-        frontier = materialize(found, "frontier")
-        visited = visited.union(frontier)
-        parts.append(frontier.withColumn("step", F.lit(step)))
+    visited, parts = frontier, [frontier.withColumn("step", F.lit(0))]
+
+    def go(hops: DataFrame) -> None:
+        nonlocal frontier, visited
+        while (max_steps is None or max_steps < 0 or len(parts) <= max_steps) and not frontier.isEmpty():
+            frontier = materialize(successors(hops, frontier).join(visited, "idx", "left_anti"), "frontier")
+            visited = visited.union(frontier)
+            parts.append(frontier.withColumn("step", F.lit(len(parts))))
+
+    if max_steps is not None and 0 <= max_steps <= 1:
+        go(hops)
+    else:
+        with bucketed(hops, "hops", "src") as table:
+            go(table)
     out = parts[0] if bad_nodes is None else parts[0].join(bad_nodes, "idx", "left_anti")
     for part in parts[1:]:
         out = out.union(part)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,14 +47,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table that ``materialize`` wrote, once nothing reads it any more (a round that the next has replaced)."""
-    spark, path = df.sparkSession, df._written_at
+@contextmanager
+def bucketed(df: DataFrame, name: str, *keys: str) -> Iterator[DataFrame]:
+    """``df`` written once, dealt and sorted by ``keys``: joins on them deal their other side only.  The table is gone after the block."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, table)
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _written.remove((spark, path))
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing reads it any more (a round that the next has replaced)."""
+    _remove(df.sparkSession, df._written_at)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
