@@ -4,31 +4,40 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words of anchors, for all languages and by wiki.
 STOP_WORDS = set(
-    """a an in the of it from with this that they he she some where what since his her their le la les il
-    elle ce ça ci ceux ceci cela celle se cet cette dans avec con sans pendant durant avant après puis el lo la
-    ese esto que qui quoi dont ou où si este esta cual eso ella depuis y a à su de des du los las un une una
-    uno para asi later into dentro dedans depuis después desde al et por at for when why how with whether if
-    thus then and but on during while as within was is est au fait font va vont sur en pour del cuando
-    cuan do does until sinon encore to by be which have not were has also its isbn pp. &amp; p. ces o""".split()
+    [
+        "a", "an", "in", "the", "of", "it", "from", "with", "this", "that", "they", "he", "she", "some", "where", "what", "since", "his", "her",
+        "their", "le", "la", "les", "il", "elle", "ce", "ça", "ci", "ceux", "ceci", "cela", "celle", "se", "cet", "cette", "dans", "avec", "con",
+        "sans", "pendant", "durant", "avant", "après", "puis", "el", "lo", "la", "ese", "esto", "que", "qui", "quoi", "dont", "ou", "où", "si",
+        "este", "esta", "cual", "eso", "ella", "depuis", "y", "a", "à", "su", "de", "des", "du", "los", "las", "un", "une", "una", "uno", "para",
+        "asi", "later", "into", "dentro", "dedans", "depuis", "después", "desde", "al", "et", "por", "at", "for", "when", "why", "how", "with",
+        "whether", "if", "thus", "then", "and", "but", "on", "during", "while", "as", "within", "was", "is", "est", "au", "fait", "font", "va",
+        "vont", "sur", "en", "pour", "del", "cuando", "cuan", "do", "does", "until", "sinon", "encore", "to", "by", "be", "which", "have", "not",
+        "were", "has", "also", "its", "isbn", "pp.", "&amp;", "p.", "ces", "o",
+    ]
 )
 # "later" and "thus" are fused in the English list and so are no stop words there.
 WIKI_STOP_WORDS = {
     "enwiki": set(
-        """a an in the of it from with this that they he she some where what since his her their laterthus
-        then and but on during while as within was is do does until to by be which have not were has also its
-        pp. &amp; p.""".split()
+        [
+            "a", "an", "in", "the", "of", "it", "from", "with", "this", "that", "they", "he", "she", "some", "where", "what", "since", "his", "her",
+            "their", "laterthus", "then", "and", "but", "on", "during", "while", "as", "within", "was", "is", "do", "does", "until", "to", "by", "be",
+            "which", "have", "not", "were", "has", "also", "its", "pp.", "&amp;", "p.",
+        ]
     ),
     "frwiki": set(
-        """elle ce ça ci ceux ceci cela celle se cet cette est au fait font va vont sur en pour del cuando
-        dans avec con sans pendant durant avant après puis el lo la depuis à de du un une dont que qui quoi ou où
-        sinon encore ces pp. &amp; p.""".split()
+        [
+            "elle", "ce", "ça", "ci", "ceux", "ceci", "cela", "celle", "se", "cet", "cette", "est", "au", "fait", "font", "va", "vont", "sur", "en",
+            "pour", "del", "cuando", "dans", "avec", "con", "sans", "pendant", "durant", "avant", "après", "puis", "el", "lo", "la", "depuis", "à", "de",
+            "du", "un", "une", "dont", "que", "qui", "quoi", "ou", "où", "sinon", "encore", "ces", "pp.", "&amp;", "p.",
+        ]
     ),
-    "eswiki": set("ese esto si este esta cual eso ella y a su de des los las un une una cuan o pp. &amp; p.".split()),
+    "eswiki": set(["ese", "esto", "si", "este", "esta", "cual", "eso", "ella", "y", "a", "su", "de", "des", "los", "las", "un", "une", "una", "cuan", "o", "pp.", "&amp;", "p."]),
 }
 # Title prefixes that are no articles.
 BAD_TITLES = ("Wikipedia:", "Wikipédia:", "File:", "Media:", "Help:", "User:")
@@ -67,12 +76,17 @@ def clean_anchor(source: Column, lowercase: bool = True, wiki: str | None = None
     return F.lower(out) if lowercase else out
 
 
+# Endings of ordinals, and signs inside numbers.
+ORDINAL_ENDINGS = ["st", "th", "nd", "rd", "er", "eme", "ème", "ère"]
+NUMBER_SIGNS = ["/", "-", ",", ".", ":", ";", "%"]
+
+
 def is_ordinal(anchor: Column) -> Column:
-    return anchor.rlike(r"(?U)^\d+(st|th|nd|rd|er|eme|ème|ère)$")
+    return anchor.rlike(rf"(?U)^\d+({'|'.join(ORDINAL_ENDINGS)})$")
 
 
 def is_number_punctuation(anchor: Column) -> Column:
-    return anchor.rlike(r"(?U)^\d+([\/\-,\.:;%]\d*)+$")
+    return anchor.rlike(rf"(?U)^\d+([{''.join(map(re.escape, NUMBER_SIGNS))}]\d*)+$")
 
 
 def acceptable(anchor: Column) -> Column:
@@ -191,6 +205,15 @@ def _bytes(token: Column) -> Column:
     return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
 
 
+def by_batch(function):
+    """A function of one string as a column function over Arrow batches; null stays null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(function, na_action="ignore")
+
+    return F.pandas_udf(run, "string")
+
+
 def strip_pattern(text: str, begin: str, end: str) -> str:
     """Cut every flat ``begin ... end``."""
     return re.sub(re.escape(begin) + r".*?" + re.escape(end), "", text, flags=re.S)

@@ -62,12 +62,12 @@ def _(t):
 
 @query("str_strip_markup")
 def _(t):
-    return t.sql(ARTICLES).select("title", F.udf(T.strip_markup, "string", useArrow=True)("text").alias("text"))
+    return t.sql(ARTICLES).select("title", T.by_batch(T.strip_markup)("text").alias("text"))
 
 
 @query("str_html_text")
 def _(t):
-    return t.pages.select("page_id", F.udf(T.html_text, "string", useArrow=True)("html").alias("text"))
+    return t.pages.select("page_id", T.by_batch(T.html_text)("html").alias("text"))
 
 
 WORDS = "SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]+')) AS w FROM benchmark"
