@@ -8,7 +8,9 @@ from tessera.functions import numeric as M
 from tessera.operators import aggregates as A
 from tessera.operators import decode as D
 from tessera.operators import windows as W
-from tessera.storage import materialize
+from tessera.sources.files import resolved
+from tessera.sources.sinks import write_examples
+from tessera.storage import new_path
 
 from . import inputs as I
 from .registry import query
@@ -221,13 +223,18 @@ def _(t):
     tokens = t.sql(LABELLED)
     spans = W.context_examples(tokens, 4)
     rows = tokens.join(spans, "doc_id").where("pos >= start and pos < stop").groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("tokens"))
-    return materialize(rows, "examples").select("doc_id", "group", F.size("tokens").cast("long").alias("n_tokens"))
+    path = new_path(t.spark, "examples")
+    write_examples(rows, path)
+    return t.spark.read.parquet(path).select("doc_id", "group", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-@query("src_h5_dataset", "SELECT user_id AS doc_id, count(*) AS n FROM events GROUP BY 1")
+@query("src_h5_dataset", f"SELECT doc_id, pos, qid, CASE WHEN qid IS NOT NULL AND qid <> 'Q3' THEN CAST(substr(qid, 2) AS BIGINT) + 7 END AS idx FROM (SELECT doc_id, pos, 'Q' || CAST(label AS VARCHAR) AS qid FROM ({LABELLED}))")
 def _(t):
-    stored = materialize(t.sql(I.STEPS).groupBy("doc_id").agg(F.collect_list("token").alias("tokens")), "columns")
-    return stored.select("doc_id", F.size("tokens").cast("long").alias("n"))
+    path = new_path(t.spark, "columns")
+    tokens = t.sql(LABELLED).select("doc_id", "pos", F.concat(F.lit("Q"), F.col("label").cast("string")).alias("qid"))
+    write_examples(tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "qid"))).alias("tokens")), path)
+    entities = t.spark.range(3).select((F.col("id") + 7).alias("idx"), F.concat(F.lit("Q"), F.col("id").cast("string")).alias("qid"))
+    return resolved(t.spark.read.parquet(path).select("doc_id", F.inline("tokens")), entities).select("doc_id", "pos", "qid", "idx")
 
 
 @query("win_split", "SELECT event_id AS n, CASE WHEN event_id BETWEEN 100 AND 149 THEN 'validation' ELSE 'train' END AS part FROM events WHERE event_id < 800")

@@ -155,7 +155,7 @@ def _(t):
 def _(t):
     path = _path(t, "trie")
     sinks.write_dimension(t.sql(ANCHORS).select("anchor", "anchor_id"), path)
-    return t.spark.read.parquet(path).where(F.col("anchor").startswith("b"))
+    return sinks.with_prefix(t.spark, path, "b")
 
 
 @query("snk_token_tsv", "SELECT user_id, count(*) AS n_tokens FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 4 = 0) > 0")

@@ -288,6 +288,14 @@ def _(t):
     return S.property_names(t.spark, _text(t, line, "names.json"))
 
 
+@query("src_sparql_pairs", "SELECT 'Q' || CAST(n_nationkey AS VARCHAR) AS key, 'Q' || CAST(100 + n_regionkey AS VARCHAR) AS value FROM nation")
+def _(t):
+    value = lambda c: F.struct(F.concat(F.lit("http://kg.example.org/entity/Q"), c.cast("string")).alias("value"))
+    rows = t.nation.select(F.struct(value(F.col("n_nationkey")).alias("origin"), value(F.col("n_regionkey") + 100).alias("destination")).alias("b"))
+    line = rows.agg(F.struct(F.struct(F.collect_list("b").alias("bindings")).alias("results")).alias("r")).select(F.to_json("r").alias("value"))
+    return S.sparql_pairs(t.spark, _text(t, line, "redirects.json"), "origin", "destination")
+
+
 STREAM = "SELECT user_id, event_id, event_type, row_number() OVER (ORDER BY user_id, event_id) AS n FROM events"
 
 

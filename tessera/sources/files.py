@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+from . import msgpack
+
 CLAIM = "struct<mainsnak:struct<datavalue:struct<value:string>>>"
 KG = f"id string, sitelinks map<string,struct<title:string>>, claims map<string,array<{CLAIM}>>"
 
@@ -23,14 +27,31 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("_k", inside).join(base, ["file", "_at"]).select("file", (F.col("_base") + F.col("_k")).alias("n"), "value")
 
 
+def packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, value): the objects of MessagePack files as JSON, with their place.  A stream has no marks to
+    split it at, so a file is read by one task: write dumps as several files."""
+
+    def run(batches):
+        for batch in batches:
+            for file, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = msgpack.objects(data)
+                n = 0
+                while part := [json.dumps(x) for x in islice(found, 1000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(range(n, n + len(part)), pa.int64()), pa.array(part)], names=["file", "n", "value"])
+                    n += len(part)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, n long, value string")
+
+
 def kg_json(spark: SparkSession, path: str) -> DataFrame:
-    """A knowledge-graph dump of one JSON object a line (bz2 or plain): (idx, id, sitelinks, claims).
+    """A knowledge-graph dump of one JSON object a line (bz2 or plain) or of MessagePack objects (mp): (idx, id, sitelinks, claims).
 
     Lines that do not start with ``{`` are skipped, trailing commas too; idx is the dense place of the entity.
     """
-    if not path.rstrip("/").endswith((".json", ".bz2", ".json.gz")):
+    name = path.rstrip("/")
+    if not name.endswith((".json", ".bz2", ".json.gz", ".mp")):
         raise ValueError(f"no known format: {path}")
-    lines = numbered_lines(spark, path).where(F.col("value").startswith("{"))
+    lines = (packed_lines if name.endswith(".mp") else numbered_lines)(spark, path).where(F.col("value").startswith("{"))
     dense = lines.groupBy("file").count()  # files in order of name
     base = dense.select("file", F.coalesce(F.sum("count").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     block = lines.withColumn("_b", F.floor(F.col("n") / (1 << 16)))
@@ -100,9 +121,28 @@ def property_names(spark: SparkSession, path: str) -> DataFrame:
     return row.select(F.explode("m").alias("prop", "name"))
 
 
+def sparql_pairs(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """(key, value) of a cached SPARQL response in JSON: two fields of its bindings (lists of properties by kind,
+    of redirects); of entity addresses the id alone; the last of a key counts."""
+    form = "struct<results:struct<bindings:array<map<string,struct<value:string>>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", form)["results"]["bindings"]).alias("n", "b"))
+    plain = lambda c: F.regexp_replace(F.col("b")[c]["value"], r"^https?://[^/]+/entity/", "")
+    return rows.select("n", plain(key).alias("key"), plain(value).alias("value")).groupBy("key").agg(F.max_by("value", "n").alias("value"))
+
+
 def islands(lines: DataFrame, starts, by: str = "file") -> DataFrame:
-    """Lines with ``group``: how many lines that ``starts`` marks lie at or before each."""
-    return lines.withColumn("group", F.sum(starts.cast("int")).over(Window.partitionBy(by).orderBy("n")))
+    """Lines with ``group``: how many lines that ``starts`` marks lie at or before each (block sums first, so
+    that no task orders a whole file)."""
+    marked = lines.withColumns({"_s": starts.cast("int"), "_b": F.floor(F.col("n") / (1 << 16))})
+    sums = marked.groupBy(by, "_b").agg(F.sum("_s").alias("_c"))
+    before = sums.select(by, "_b", F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_s").over(Window.partitionBy(by, "_b").orderBy("n"))
+    return marked.withColumn("_in", inside).join(before, [by, "_b"]).withColumn("group", F.col("_before") + F.col("_in")).select(*lines.columns, "group")
+
+
+def resolved(tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """``tokens(..., qid)`` with ``idx`` of the entity, null where ``entities(idx, qid)`` has none."""
+    return tokens.join(entities.select("idx", "qid"), "qid", "left")
 
 
 def token_tsv(spark: SparkSession, path: str, comment: str = "#//#") -> DataFrame:

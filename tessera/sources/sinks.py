@@ -29,6 +29,24 @@ def write_dimension(names: DataFrame, path: str) -> None:
     names.repartitionByRange("anchor").sortWithinPartitions("anchor").write.parquet(path)
 
 
+def with_prefix(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """The entries of a dictionary that start with ``prefix``: a range of the sorted column, so files and row
+    groups without any are skipped by their least and greatest value."""
+    names = spark.read.parquet(path)
+    return names.where((F.col("anchor") >= prefix) & F.col("anchor").startswith(prefix))
+
+
+def lookup(spark: SparkSession, path: str, keys: list[str]) -> dict[str, int]:
+    """Ids of some strings of a dictionary, for a few at a time (a join serves many)."""
+    found = spark.read.parquet(path).where(F.col("anchor").isin(keys)).collect()  # a row a key
+    return {r["anchor"]: r["anchor_id"] for r in found}
+
+
+def write_examples(examples: DataFrame, path: str, chunk: int = 1500) -> None:
+    """Windowed examples in files of at most ``chunk``."""
+    examples.write.option("maxRecordsPerFile", chunk).parquet(path)
+
+
 def write_token_tsv(tokens: DataFrame, path: str) -> None:
     """Token rows as TSV, a blank line after each paragraph: one text line group for each (doc_id, para), in order."""
     line = F.concat_ws("\t", "token", "qid", "context_qid", F.col("anchor_id").cast("string"))

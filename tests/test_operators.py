@@ -1,7 +1,9 @@
 """Golden cases and edge cases of operators whose result SQL cannot check, or that ties, nulls and empty inputs may upset."""
 
 import itertools
+import json
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import storage
 from tessera.functions import numeric, text
 from tessera.operators import candidates, decode, geo, linking, search, windows
-from tessera.sources import files, sinks
+from tessera.sources import files, msgpack, sinks
 
 
 def test_rank_topk_golden(spark):
@@ -251,3 +253,45 @@ def test_wiki_fixture(spark, tmp_path):
     (tmp_path / "w.xml").write_text(page)
     docs = files.wiki_xml(spark, str(tmp_path / "w.xml"))
     assert [tuple(r) for r in docs.select(F.explode(text.spans(F.col("text")))).select("col.*").collect()] == [("See ", None), ("bar", "Foo"), (" & ", None), ("Baz#x", "Baz#x"), (".", None)]
+
+
+def packed(x):
+    """MessagePack by its rules, for the few types a dump has."""
+    if x is None or isinstance(x, bool):
+        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[x]
+    if isinstance(x, int):
+        return struct.pack(">B", x) if 0 <= x < 128 else struct.pack(">b", x) if -32 <= x < 0 else b"\xd3" + struct.pack(">q", x)
+    if isinstance(x, float):
+        return b"\xcb" + struct.pack(">d", x)
+    if isinstance(x, str):
+        raw = x.encode()
+        return (bytes([0xA0 | len(raw)]) if len(raw) < 32 else b"\xda" + struct.pack(">H", len(raw))) + raw
+    if isinstance(x, list):
+        return (bytes([0x90 | len(x)]) if len(x) < 16 else b"\xdc" + struct.pack(">H", len(x))) + b"".join(map(packed, x))
+    return (bytes([0x80 | len(x)]) if len(x) < 16 else b"\xde" + struct.pack(">H", len(x))) + b"".join(packed(k) + packed(v) for k, v in x.items())
+
+
+def test_packed_dump_is_that_of_lines(spark, tmp_path):
+    rows = [{"id": f"Q{i}", "sitelinks": {"enwiki": {"title": "é" * (i % 40)}}, "claims": {"P1": [{"mainsnak": {"datavalue": {"value": {"id": f"Q{k}"}}}} for k in range(i % 20)]}} for i in range(2500)]
+    (tmp_path / "d.mp").write_bytes(b"".join(map(packed, rows)))
+    (tmp_path / "d.json").write_text("[\n" + ",\n".join(map(json.dumps, rows)) + "\n]\n")
+    links = lambda name: sorted(map(tuple, files.claim_edges(files.kg_json(spark, f"{tmp_path}/{name}"), ["P1"]).collect()))
+    assert links("d.mp") == links("d.json") and len(links("d.mp")) > 20_000
+    odd = [None, True, -5, 10**12, -(10**12), 1.5, "x" * 300, list(range(40)), {str(i): i for i in range(20)}]
+    assert list(msgpack.objects(b"".join(map(packed, odd)))) == odd
+    with pytest.raises(ValueError):
+        list(msgpack.objects(packed("cut off")[:-1]))
+
+
+def test_dictionary_lookups(spark, tmp_path):
+    names = spark.range(500).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("anchor"), F.col("id").alias("anchor_id"))
+    sinks.write_dimension(names, f"{tmp_path}/d")
+    assert sinks.lookup(spark, f"{tmp_path}/d", ["n7", "n499", "none"]) == {"n7": 7, "n499": 499}
+    assert sorted(r.anchor_id for r in sinks.with_prefix(spark, f"{tmp_path}/d", "n49").collect()) == [49, *range(490, 500)]
+
+
+def test_islands_over_blocks(spark, tmp_path):
+    n = 150_000
+    (tmp_path / "a.txt").write_text("\n".join("-" if i % 7 == 0 else "x" for i in range(n)))
+    rows = files.islands(files.numbered_lines(spark, str(tmp_path / "a.txt")), F.col("value") == "-")
+    assert rows.where("group <> n div 7 + 1").count() == 0 and rows.count() == n
