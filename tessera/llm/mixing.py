@@ -56,11 +56,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCEN
     return rest.select("source", "source_size", "n_docs", F.when(lowest.isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), lowest * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, **settings) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, key."""
+def mix(docs: DataFrame, seed: str = SEED, more: tuple[Column, ...] = (), **settings) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, key, and ``more``."""
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.size(words(F.col("text"))).cast("long").alias("size"), random_key(F.col("doc_id"), seed).alias("key"),
+        F.size(words(F.col("text"))).cast("long").alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *more,
     )
     return take(materialize(slim, "mix-sizes"), **settings)
 
@@ -82,25 +82,27 @@ def take(slim: DataFrame, **settings) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     start = F.col("offset") + F.col("_within")
     last = F.least(F.greatest(budget - epochs * F.col("source_size") - start, F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), "key")
+    more = [c for c in slim.columns if c not in ("doc_id", "source", "size", "key")]
+    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), "key", *more)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it is taken, the one across a source's budget
     cut after its last word taken.  The columns of ``docs``; n_chars follows a cut text.
 
-    The copies of a document that the input holds twice are told apart by a row number
-    inside (doc_id, size), a group no larger than those copies.
+    A document meets its share by (doc_id, text hash), so its words are split but once; copies
+    that the input holds twice under one doc_id are told apart by a row number among them.
     """
     from .common import let
 
     names = docs.columns
-    shares = mix(docs, **settings)
-    twin = lambda *by: Window.partitionBy("_id", "_size").orderBy(*by)
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.size(words(F.col("text"))).cast("long").alias("_size"))
-    left = left.withColumn("_n", F.row_number().over(twin(F.xxhash64("_doc.text"))))
-    right = shares.where("taken > 0").select(F.col("doc_id").alias("_i"), F.col("size").alias("_z"), "taken").withColumn("_m", F.row_number().over(Window.partitionBy("_i", "_z").orderBy(F.desc("taken"))))
-    both = left.join(right, left["_id"].eqNullSafe(right["_i"]) & (left["_size"] == right["_z"]) & (left["_n"] == right["_m"]))
+    shares = mix(docs, more=(F.xxhash64("text").alias("text_hash"),), **settings)
+    twin = lambda *by: Window.partitionBy(*by)
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("source").cast("string").alias("_from"))
+    left = left.withColumn("_n", F.row_number().over(twin("_id", "_hash", "_from").orderBy(F.lit(1))))
+    right = shares.where("taken > 0").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), "taken", F.col("source").alias("_s"))
+    right = right.withColumn("_m", F.row_number().over(twin("_i", "_h", "_s").orderBy(F.desc("taken"))))
+    both = left.join(right, left["_id"].eqNullSafe(right["_i"]) & (left["_hash"] == right["_h"]) & left["_from"].eqNullSafe(right["_s"]) & (left["_n"] == right["_m"]))
     whole = (F.col("taken") / F.col("_size")).cast("long")
     part = F.col("taken") - whole * F.col("_size")
     copies = F.filter(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.array(part)), lambda p: p >= 0)

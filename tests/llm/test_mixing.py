@@ -45,7 +45,7 @@ def test_whole_table_with_a_hot_source(spark):
 
 
 def test_edge_cases(spark):
-    rows = [(1, None, "a", 0), (2, "", "a", 0), (3, "one two", "b", 7), (3, "one two", "b", 7), (None, "x " * 5000, None, 0), (5, "é\n🎉 z", "ü", 0), (6, " \n", "z", 0)]
+    rows = [(1, None, "a", 0), (2, "", "a", 0), (3, "one two", "b", 7), (3, "one two", "b", 7), (None, "x " * 5000, None, 0), (5, "é\n🎉 z", "ü", 0), (6, " \n", "z", 0), (7, "same words", "a", 10), (7, "same words", "b", 10), (7, "other words", "b", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumn("key", F.lit("clash")).withColumn("target", F.lit(1))
     taken = check(docs)
     mixed = M.mixed_documents(docs)
