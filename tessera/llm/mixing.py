@@ -10,7 +10,7 @@ size S takes all documents ``T // S`` times, and once more those that lie before
 
 Defined results: a null or blank text has size 0 and takes 0; null sources form one
 source, ordered last; repeated rows are documents of their own; empty tables give
-empty results; reruns agree, as keys depend on the doc_id and the seed alone.
+empty results; reruns agree, as keys depend on the doc_id, the text and the seed alone.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ WEIGHTS, SHARE_PERCENT, MOST_EPOCHS, SEED = (3, 1, 2), 150, 2, "mix-1"
 DIGITS = 13
 
 
-def random_key(doc_id: Column, seed: str = SEED) -> Column:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def random_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """By the text as well, so that many rows under one doc_id, or under none, get many keys."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
 
 
@@ -60,7 +61,7 @@ def mix(docs: DataFrame, seed: str = SEED, more: tuple[Column, ...] = (), **sett
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, key, and ``more``."""
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.size(words(F.col("text"))).cast("long").alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *more,
+        F.size(words(F.col("text"))).cast("long").alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key"), *more,
     )
     return take(materialize(slim, "mix-sizes"), **settings)
 

@@ -17,7 +17,7 @@ def words(text: str) -> str:
 _OP9 = rf"""
 WITH slim AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(len({words("text")}) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, {DIGITS}) AS BIGINT) AS key
+         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, {DIGITS}) AS BIGINT) AS key
   FROM documents),
 per_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
