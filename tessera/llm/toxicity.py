@@ -14,7 +14,8 @@ Texts are scored whole, in steps of bounded size, as maxima join up.
 Defined results: null texts are empty; empty texts get the score of no response at all;
 without labels of both classes every score is 0.5 and nothing is toxic; repeated rows
 each get their row; labels of null or other than 0 and 1 are ignored, of several labels
-of a document the highest counts; empty tables give empty results.
+of a document the highest counts; rows without doc_id have no label and are not held
+out; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WORD_BUCKETS, STEM_BUCKETS, STEMS = 1 << 16, 1 << 13, (4, 6)
 #: A token's code: the word's bucket above those of its stems; below FIRST it is no word.
@@ -195,8 +196,9 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: list[int], most: int) ->
         some = marks.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    # at most 2 * most rows: a proven bound for the broadcast
-    rows = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "lang", tokens(F.col("text")).alias("codes"))
+    # at most 2 * most rows: a proven bound for the broadcast; they are written as texts, or the filter on their words would move down to the scan of all documents
+    sample = materialize(slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "lang", "text"), "toxicity-sample")
+    rows = sample.select("doc_id", "_y", "lang", tokens(F.col("text")).alias("codes"))
     found = rows.where(F.size("codes") <= MOST_WORDS).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     lists = found["codes"].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
@@ -212,9 +214,10 @@ def marked(labels: DataFrame, folds: list[int]) -> DataFrame:
 
 def calibrate(docs: DataFrame, labels: DataFrame, net: Network) -> dict[str, float]:
     """Each language's threshold of best F1 over all labelled rows of fold 1."""
-    scored = score(docs.where(fold(F.col("doc_id").cast("long")) == 1), net, {})
+    marks = marked(labels, [1])
+    scored = score(docs.join(marks, F.col("doc_id").cast("long") == F.col("_id"), "left_semi"), net, {})
     step = sum((F.col("score") >= k / STEPS).cast("int") for k in range(1, STEPS))
-    found = scored.join(marked(labels, [1]), F.col("doc_id") == F.col("_id")).groupBy("lang", step.alias("step"), "_y").count().collect()  # 2 * STEPS rows a language
+    found = scored.join(marks, F.col("doc_id") == F.col("_id")).groupBy("lang", step.alias("step"), "_y").count().collect()  # 2 * STEPS rows a language
     counts: dict[str, np.ndarray] = {}
     for r in found:
         counts.setdefault(r["lang"], np.zeros((STEPS, 2), np.int64))[r["step"], r["_y"]] = r["count"]
@@ -260,4 +263,4 @@ def score(docs: DataFrame, net: Network | None, thresholds: dict[str, float]) ->
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, *train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")

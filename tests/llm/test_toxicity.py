@@ -72,3 +72,81 @@ def test_thresholds_come_from_all_calibration_rows(spark, monkeypatch):
         f1 = lambda c: 2 * sum(y for s, y in own if s >= c) / max(1, sum(s >= c for s, _ in own) + sum(y for _, y in own))  # noqa: E731, B023
         want[lang] = max((k / 20 for k in range(1, 20)), key=lambda c: (f1(c), -abs(c - 0.5)))
     assert thresholds == want and set(want) == {"de", "en", "zz"}
+
+
+def plain_score(net, codes):
+    """The score of one text by loops over its places and filters."""
+    best = []
+    for width, (k, w) in enumerate(zip(T.WIDTHS, net.filters)):
+        for f in range(T.FILTERS):
+            seen = []
+            for i in range(len(codes)):
+                z = float(net.bias[width * T.FILTERS + f])
+                for j in range(k):
+                    if i + j < len(codes):
+                        word, *stems = T.buckets(codes[i + j : i + j + 1])
+                        x = net.word[word[0]] + sum(net.stem[s[0]] for s in stems)
+                        z += float(x @ w[j * T.DIMENSIONS : (j + 1) * T.DIMENSIONS, f])
+                seen.append(z)
+            best.append(max(0.0, max(seen, default=0.0)))
+    return 1 / (1 + np.exp(-(np.dot(best, net.out) + net.out_bias)))
+
+
+def _small():
+    rng = np.random.default_rng(8)
+    net = T.Network.fresh()
+    net.bias += rng.normal(0, 0.1, net.bias.shape).astype(np.float32)
+    return net, [rng.integers(T.FIRST, T.FIRST * 50, n).astype(np.int64) for n in (1, 2, 5, 9)]
+
+
+def test_scores_are_those_of_plain_loops():
+    net, docs = _small()
+    offsets = np.r_[0, np.cumsum([len(d) for d in docs])]
+    got = net.score(T.pool(net, np.concatenate(docs), offsets))
+    assert np.allclose(got, [plain_score(net, d) for d in docs], atol=1e-5)
+
+
+def test_one_step_of_training_follows_the_numerical_gradient():
+    """With one batch, a parameter moves by RATE * g / sqrt(1e-3 + g * g), which gives g."""
+    _, docs = _small()
+    y = np.array([1.0, 0.0, 1.0, 0.0], np.float32)
+    start, after = T.Network.fresh(T.SEED), T.fit(docs, y, epochs=1)
+
+    def loss(net):
+        p = np.array([plain_score(net, d) for d in docs])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for name in ("word", "stem", "out", "bias", "out_bias"):
+        setattr(start, name, np.float64(getattr(start, name)))
+    start.filters = [w.astype(np.float64) for w in start.filters]
+    used = T.buckets(docs[2])
+    for get, at in [
+        (lambda n: n.out, (3,)), (lambda n: n.out, (40,)), (lambda n: n.bias, (20,)), (lambda n: n.filters[0], (2, 5)), (lambda n: n.filters[2], (33, 1)),
+        (lambda n: n.word, (int(used[0][0]), 4)), (lambda n: n.stem, (int(used[1][1]), 0)), (lambda n: n.stem, (int(used[2][2]), 7)),
+    ]:
+        table, eps = get(start), 1e-5
+        table[at] += eps
+        high = loss(start)
+        table[at] -= 2 * eps
+        low = loss(start)
+        table[at] += eps
+        moved = float(table[at] - get(after)[at])
+        g = moved * np.sqrt(1e-3) / np.sqrt(max(T.RATE**2 - moved**2, 1e-12))
+        assert abs(g - (high - low) / (2 * eps)) < 2e-4 + 0.02 * abs(g)
+
+
+def test_no_words_are_made_in_a_filter_on_the_documents(spark, sf_small):
+    """The bounded sample and the calibration rows are joined before their texts are read as words."""
+    docs, labels = (spark.read.parquet(f"{sf_small}/{n}.parquet") for n in ("documents", "labels"))
+    plans, own = [], T.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return own(df, name)
+
+    T.materialize = seen
+    try:
+        T.labelled(docs, labels, [2, 3, 4], 10)
+    finally:
+        T.materialize = own
+    assert len(plans) == 1 and "transform" not in plans[0] and "Join" in plans[0]
