@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import random
 import struct
 
 import numpy as np
@@ -295,3 +296,52 @@ def test_islands_over_blocks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\n".join("-" if i % 7 == 0 else "x" for i in range(n)))
     rows = files.islands(files.numbered_lines(spark, str(tmp_path / "a.txt")), F.col("value") == "-")
     assert rows.where("group <> n div 7 + 1").count() == 0 and rows.count() == n
+
+
+def test_link_features_against_plain_loops(spark):
+    rng = random.Random(7)
+    vocabulary = ["red", "Red", "fox", "den", "hill", "Old"]
+    docs = {d: [(rng.choice(vocabulary), rng.random() < 0.15) for _ in range(rng.randrange(1, 14))] for d in range(30)}
+    anchors = {a: i for i, a in enumerate(["red", "red fox", "fox den", "old red fox", "hill", "den"])}
+    cands = [(i, e, rng.randrange(1, 200)) for i in anchors.values() for e in rng.sample(range(5), 3)]
+    links = [(d, rng.randrange(5)) for d in docs for _ in range(4)]
+    names = {0: "Red Fox (animal)", 1: "hill", 2: "The old red fox", 3: "den of foxes"}
+    triggers = {"red": (10, 4), "hill": (0, 0), "red fox": (6, 6)}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = linking.link_features(
+        df([(d, i, w + " ", x) for d, ws in docs.items() for i, (w, x) in enumerate(ws)], "doc_id long, pos int, raw string, linked boolean"),
+        df([(a, i, 1) for a, i in anchors.items()], "anchor string, anchor_id long, total long"), df(cands, "anchor_id long, entity long, cnt long"),
+        df(links, "doc_id long, entity long"), df(list(names.items()), "idx long, name string"), df([(t, *v) for t, v in triggers.items()], "token string, n long, n_labels long"),
+    )
+    want = {}
+    for d, ws in docs.items():
+        best = {}
+        for i in range(len(ws)):
+            for n in range(1, 6):
+                gram = ws[i : i + n]
+                if len(gram) == n and not any(x for _, x in gram) and " ".join(w for w, _ in gram).lower() in anchors:
+                    best[i] = n, " ".join(w for w, _ in gram)
+        end = 0
+        for i, (n, said) in sorted(best.items()):
+            if i < end:
+                continue
+            end, a = i + n, anchors[said.lower()]
+            for anchor, e, cnt in cands:
+                on_page = sum(link == (d, e) for link in links)
+                total, into = sum(c for x, _, c in cands if x == a), sum(c for _, x, c in cands if x == e)
+                if anchor != a or not on_page or cnt / total <= 0.01:
+                    continue
+                name, low = names.get(e, "").split(" (")[0].lower(), said.lower()
+                at = name.find(low)
+                before, after = (at / len(name), (len(name) - at - len(low)) / len(name)) if at >= 0 else (1.0, 1.0)
+                words, labels = triggers.get(low, (1, 0))
+                want[d, i, e] = [float(said[0].islower()), float(at >= 0), before, after, math.log1p(on_page), cnt / total, cnt / into, labels / max(words, 1)]
+    got = {(r.doc_id, r.pos, r.entity): r.features for r in found.collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    for k in want:
+        assert got[k] == pytest.approx(want[k]), k
+    chosen = linking.densify(found, F.get("features", F.lit(5)))
+    best = {}
+    for (d, i, e), f in want.items():
+        best[d, i] = max(best.get((d, i), (0, 0)), (f[5], -e))
+    assert {(r.doc_id, r.pos): (pytest.approx(r.prob), r.entity) for r in chosen.collect()} == {k: (p, -e) for k, (p, e) in best.items() if p > 0.5}
