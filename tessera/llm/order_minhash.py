@@ -108,16 +108,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def _block_of(value: Column, ends: list[int]) -> Column:
-    """How many of ``ends`` lie at or above ``value``: 0 for the largest values.  A binary search
-    in a constant array, so that tens of thousands of ends cost a handful of steps."""
-    if not ends:
-        return F.lit(0)
+def _count_above(value: Column, ends: list[int], equal: bool) -> Column:
+    """How many of ``ends`` lie above ``value`` (or are ``equal``).  A binary search in a constant
+    array, so that tens of thousands of ends cost a handful of steps."""
     falling = F.split(F.lit(",".join(map(str, sorted(ends, reverse=True)))), ",").cast("array<bigint>")
 
     def halve(a: Column, _: Column) -> Column:
         mid = F.shiftright(a["lo"] + a["hi"], 1)
-        above = F.coalesce(F.get(falling, mid) >= value, F.lit(False))
+        end = F.get(falling, mid)
+        above = F.coalesce(end >= value if equal else end > value, F.lit(False))
         low = F.when(a["lo"] >= a["hi"], a["lo"]).when(above, mid + 1).otherwise(a["lo"])
         high = F.when(a["lo"] >= a["hi"], a["hi"]).when(above, a["hi"]).otherwise(mid)
         return F.struct(low.alias("lo"), high.alias("hi"))
@@ -126,18 +125,33 @@ def _block_of(value: Column, ends: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(ends).bit_length())), start, halve, lambda a: a["lo"])
 
 
+def _block_of(value: Column, tie: Column, ends: list[int]) -> Column:
+    """The block of a row, 0 for the largest values: how many of ``ends`` lie at or above it.  A value
+    that is several of them (as quantiles, it holds as many blocks' rows) is cut by its ``tie``, a hash."""
+    if not ends:
+        return F.lit(0)
+    share = tie.cast("double") / F.lit(2.0**64) + 0.5
+
+    def cut(n: Column) -> Column:
+        inside = F.least(F.floor(share * (n["to"] - n["after"])).cast("int"), n["to"] - n["after"] - 1)
+        return F.when(n["to"] - n["after"] < 2, n["to"]).otherwise(n["after"] + 1 + inside)
+
+    return let(F.struct(_count_above(value, ends, False).alias("after"), _count_above(value, ends, True).alias("to")), cut)
+
+
 def with_next(rows: DataFrame, make, block: int = BLOCK) -> DataFrame:
     """``make(rows)`` with a struct ``next`` of all its columns for the row that follows in falling
     _id (ties by _tie; after the last comes the first).  ``make`` keeps _id, _tie, _block and _ghost.
 
     Rows are dealt once, into at most ``MOST_BLOCKS`` blocks of neighbouring ids, and meet
-    their next inside their block.  The first row of each block also goes, as a ghost, to
+    their next inside their block.  Many rows of one id fill several blocks; only rows equal in
+    _id and _tie (copies of one text under one id) are never parted.  The first row of each block also goes, as a ghost, to
     the end of the block before it; only those (id, tie) pairs are broadcast, one a block.
     """
     n_blocks = min(MOST_BLOCKS, max(1, rows.count() // block))
     wanted = [i / n_blocks for i in range(1, n_blocks)]
     ends = rows.agg(F.percentile_approx("_id", wanted, max(10_000, 10 * n_blocks))).first()[0] if wanted else []
-    dealt = rows.withColumn("_block", _block_of(F.col("_id"), sorted(set(ends or []))))
+    dealt = rows.withColumn("_block", _block_of(F.col("_id"), F.col("_tie"), ends or []))
     firsts = dealt.groupBy("_block").agg(F.max_by(F.struct("_id", "_tie"), F.struct(F.col("_id"), -F.col("_tie").cast("decimal(20,0)"))).alias("f"))
     around = Window.orderBy("_block")
     to = F.coalesce(F.lag("_block").over(around), F.max("_block").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

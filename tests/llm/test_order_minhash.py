@@ -1,6 +1,8 @@
 """Order MinHash: properties of the fingerprints, and the edited texts against plain Python."""
 
 import hashlib
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -103,3 +105,14 @@ def test_edge_cases(spark):
     assert omh.edited_pairs(docs.where("false")).count() == 0
     one = omh.edited_pairs(docs.where("doc_id = 4")).first()
     assert one.edited == "ono"
+
+
+def test_a_hot_id_fills_several_blocks(spark):
+    rng = random.Random(4)
+    rows = [(5 if i % 3 == 0 else -(2**63) if i % 3 == 1 else rng.randrange(50), rng.randrange(-(2**63), 2**63)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "_id long, _tie long")
+    found = omh.with_next(df, lambda r: r, block=100).select("_id", "_tie", "_block", "next._id", "next._tie").collect()
+    order = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert {tuple(r)[:2]: tuple(r)[3:] for r in found} == {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
+    sizes = Counter(r._block for r in found)
+    assert len(sizes) > 20 and max(sizes.values()) < 400
