@@ -138,10 +138,11 @@ def judge(metrics: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.  Levels need the labelled documents' statistics alone."""
-    labelled = docs.join(marked(labels).select("_id"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    levels = materialize(calibrate(materialize(score(labelled), "quality-metrics"), labels, **settings), "quality-levels")
-    return judge(score(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), levels).where("kept").select("_doc.*")
+    """The rows of ``docs`` that the rules keep, with all their columns.  Rows are written once beside
+    their statistics: texts are scored a single time, and neither labels nor verdicts make them move."""
+    scored = materialize(score(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "quality-metrics")
+    levels = materialize(calibrate(scored, labels, **settings), "quality-levels")
+    return judge(scored, levels).where("kept").select("_doc.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
