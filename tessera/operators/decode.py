@@ -1,8 +1,8 @@
 """Decoding of documents: greedy, beam, Viterbi, and the state that predictions leave behind.
 
-A document's steps depend on its own predictions, so each document is decoded by one
-call of ``applyInPandas``; documents are independent, and everything that does not depend
-on predictions is computed with joins beforehand.
+A document's steps depend on its own predictions, so a document is decoded in one task, by
+``mapInArrow`` over sorted rows (beams) or ``applyInPandas``; documents are independent, and
+everything that does not depend on predictions is computed with joins beforehand.
 """
 
 from __future__ import annotations
@@ -22,11 +22,6 @@ def greedy(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id", "step").agg(F.max_by("entity", F.struct(s, -F.col("pos"))).alias("entity"))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max()
-    return x - np.log(np.exp(x).sum())
-
-
 def beam(scores: DataFrame, width: int = 4, reorder: bool = False, repeat_penalty: float = 0.0) -> DataFrame:
     """(doc_id, step, entity, score): the best beam's entity at each step.
 
@@ -34,26 +29,50 @@ def beam(scores: DataFrame, width: int = 4, reorder: bool = False, repeat_penalt
     beam predicted before (a score after normalisation).  With ``reorder``, steps with most candidates come first.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
-        col = {c: rows.column(c).to_numpy() for c in ("step", "pos", "entity", "score", "valid")}
-        order = np.lexsort((col["pos"], col["step"]))
-        at, entity, score = col["step"][order], col["entity"][order], np.where(col["valid"], col["score"], INVALID)[order].astype(float)
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-        steps = list(zip(cuts[:-1], cuts[1:], strict=True))
-        if reorder:
-            steps.sort(key=lambda x: (x[0] - x[1], at[x[0]]))
-        beams = [(0.0, ())]
-        for lo, hi in steps:
-            base, own = _log_softmax(score[lo:hi]), entity[lo:hi]
-            flat = np.concatenate([b[0] + base - (repeat_penalty * np.isin(own, b[1]) if repeat_penalty else 0.0) for b in beams])
-            top = np.argsort(-flat, kind="stable")[:width]
-            beams = [(float(flat[i]), (*beams[i // len(own)][1], int(own[i % len(own)]))) for i in top]
-        best, path = beams[0]
-        doc = rows.column("doc_id")[0].as_py()
-        return pa.table({"doc_id": pa.array([doc] * len(path), pa.int64()), "step": pa.array([int(at[lo]) for lo, _ in steps], pa.int64()), "entity": pa.array(path, pa.int64()), "score": pa.array([best] * len(path), pa.float64())})
-
-    slim = scores.select("doc_id", "step", "pos", "entity", "score", "valid")
-    return slim.groupBy("doc_id").applyInArrow(lambda rows: run(rows), "doc_id long, step long, entity long, score double")
+    def decode(doc: np.ndarray, step: np.ndarray, entity: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        """Whole documents, sorted: log-softmax of all steps at once, then the beams of one document after another."""
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])])
+        sizes = np.diff(np.r_[first, len(doc)])
+        low = score - np.repeat(np.maximum.reduceat(score, first), sizes)
+        base = low - np.repeat(np.log(np.add.reduceat(np.exp(low), first)), sizes)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        bounds = np.flatnonzero(np.r_[True, doc[first][1:] != doc[first][:-1], True])
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            steps = sorted(range(i, j), key=lambda k: (-sizes[k], k)) if reorder else range(i, j)
+            sums, paths = np.zeros(1), [()]
+            for k in steps:
+                lo, hi = first[k], first[k] + sizes[k]
+                own, grown = entity[lo:hi], sums[:, None] + base[lo:hi]
+                if repeat_penalty:
+                    for b, path in enumerate(paths):
+                        for e in set(path):
+                            grown[b, own == e] -= repeat_penalty
+                flat = grown.ravel()
+                top = np.argsort(-flat, kind="stable")[:width]
+                sums, paths = flat[top], [(*paths[t // (hi - lo)], int(own[t % (hi - lo)])) for t in top.tolist()]
+            out[0].extend([int(doc[first[i]])] * (j - i))
+            out[1].extend(int(step[first[k]]) for k in steps)
+            out[2].extend(paths[0])
+            out[3].extend([float(sums[0])] * (j - i))
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["doc_id", "step", "entity", "score"])
+
+    def fold(batches):
+        """Sorted rows as they stream by; the last document of a batch waits for the next one."""
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "step", "entity", "score")]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield decode(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield decode(*held)
+
+    s = F.when(F.col("valid"), F.col("score").cast("double")).otherwise(F.lit(INVALID))
+    slim = scores.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("step").cast("long").alias("step"), "pos", F.col("entity").cast("long").alias("entity"), s.alias("score"))
+    rows = slim.repartition("doc_id").sortWithinPartitions("doc_id", "step", "pos")
+    return rows.mapInArrow(fold, "doc_id long, step long, entity long, score double")
 
 
 def viterbi_path(unary: np.ndarray, transition: np.ndarray) -> tuple[list[int], float]:
