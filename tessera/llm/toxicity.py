@@ -212,10 +212,9 @@ def marked(labels: DataFrame, folds: list[int]) -> DataFrame:
     return marks.groupBy("_id").agg(F.max("_y").alias("_y"))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, net: Network) -> dict[str, float]:
-    """Each language's threshold of best F1 over all labelled rows of fold 1."""
+def calibrate(scored: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Each language's threshold of best F1 over all labelled rows of fold 1 among ``scored(doc_id, lang, score)``."""
     marks = marked(labels, [1])
-    scored = score(docs.join(marks, F.col("doc_id").cast("long") == F.col("_id"), "left_semi"), net, {})
     step = sum((F.col("score") >= k / STEPS).cast("int") for k in range(1, STEPS))
     found = scored.join(marks, F.col("doc_id") == F.col("_id")).groupBy("lang", step.alias("step"), "_y").count().collect()  # 2 * STEPS rows a language
     counts: dict[str, np.ndarray] = {}
@@ -228,13 +227,19 @@ def calibrate(docs: DataFrame, labels: DataFrame, net: Network) -> dict[str, flo
     return thresholds
 
 
+def network(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """The network fitted on the bounded sample; None without labels of both classes."""
+    y, _, codes = labelled(docs, labels, [2, 3, 4], MOST_ROWS)
+    return fit(codes, y) if len(set(y.tolist())) == 2 else None
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, dict[str, float]]:
     """The network, and each language's threshold of best F1 on the calibration fold."""
-    y, _, codes = labelled(docs, labels, [2, 3, 4], MOST_ROWS)
-    if len(set(y.tolist())) < 2:
+    net = network(docs, labels)
+    if net is None:
         return None, {}
-    net = fit(codes, y)
-    return net, calibrate(docs, labels, net)
+    some = docs.join(marked(labels, [1]), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    return net, calibrate(raw_scores(some, net), labels)
 
 
 def _scored(model):
@@ -250,17 +255,34 @@ def _scored(model):
     return run
 
 
-def score(docs: DataFrame, net: Network | None, thresholds: dict[str, float]) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang, score, toxic (by the language's threshold, else 0.5)."""
+def raw_scores(docs: DataFrame, net: Network | None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang, score."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), tokens(F.col("text")).alias("codes"))
     if net is None:
-        return slim.select("doc_id", "lang", F.lit(0.5).alias("score"), F.lit(False).alias("toxic"))
-    found = slim.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, lang string, score double")
+        return slim.select("doc_id", "lang", F.lit(0.5).alias("score"))
+    return slim.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, lang string, score double")
+
+
+def with_verdict(scored: DataFrame, thresholds: dict[str, float], nothing: bool = False) -> DataFrame:
+    """``scored`` with toxic (by the language's threshold, else 0.5)."""
     limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col("lang")), F.lit(0.5)) if thresholds else F.lit(0.5)
-    return found.withColumn("toxic", F.col("score") >= limit)
+    return scored.withColumn("toxic", F.lit(False) if nothing else F.col("score") >= limit)
+
+
+def score(docs: DataFrame, net: Network | None, thresholds: dict[str, float]) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang, score, toxic."""
+    return with_verdict(raw_scores(docs, net), thresholds, net is None)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` by a network and thresholds learnt from ``labels``.  Every text is read as words once: scores
+    are written, thresholds come from those of labelled rows, and no text moves."""
+    net = network(docs, labels)
+    scored = materialize(raw_scores(docs, net), "toxicity-scores")
+    return with_verdict(scored, calibrate(scored, labels) if net else {}, net is None)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = score(docs, *train(docs, table(spark, sf_dir, "labels")))
+    found = classify(docs, table(spark, sf_dir, "labels"))
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")

@@ -150,3 +150,10 @@ def test_no_words_are_made_in_a_filter_on_the_documents(spark, sf_small):
     finally:
         T.materialize = own
     assert len(plans) == 1 and "transform" not in plans[0] and "Join" in plans[0]
+
+
+def test_classify_is_train_and_score(spark):
+    docs, labels = _data(spark, 300)
+    key = lambda df: sorted((r.doc_id, round(r.score, 9), r.toxic) for r in df.collect())
+    assert key(T.classify(docs, labels)) == key(T.score(docs, *T.train(docs, labels)))
+    assert T.classify(docs.where("false"), labels).count() == 0
