@@ -37,3 +37,14 @@ def test_places_are_not_counted_by_rows(spark, sf_small):
     _no_row_a_candidate(spark, sf_small, "join_place_comma_place")
     lines = catalog.queries()["join_place_comma_place"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not any("Aggregate [first" in x for x in lines)
+
+
+def test_past_predictions_are_not_joined_by_rows(spark, sf_small):
+    lines = catalog.queries()["st_past_prediction"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate [doc_id" in x for x in lines)
+
+
+def test_earlier_steps_in_order(spark):
+    rows = spark.createDataFrame([(1, 2, 5), (1, 0, 5), (1, 1, 6), (2, 4, 7), (1, 5, 6)], "doc_id long, step long, label long")
+    got = {(r.doc_id, r.step): sorted(r.earlier) for r in decode.earlier(rows, "label").collect()}
+    assert got == {(1, 0): [], (1, 1): [5], (1, 2): [5, 6], (1, 5): [5, 6], (2, 4): []}
