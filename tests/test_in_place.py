@@ -48,3 +48,13 @@ def test_earlier_steps_in_order(spark):
     rows = spark.createDataFrame([(1, 2, 5), (1, 0, 5), (1, 1, 6), (2, 4, 7), (1, 5, 6)], "doc_id long, step long, label long")
     got = {(r.doc_id, r.step): sorted(r.earlier) for r in decode.earlier(rows, "label").collect()}
     assert got == {(1, 0): [], (1, 1): [5], (1, 2): [5, 6], (1, 5): [5, 6], (2, 4): []}
+
+
+def test_extend_by_class_lists_no_pairs(spark, sf_small):
+    rows = [(1, 1, 90, 0, True), (1, 2, 100, 1, False), (1, 3, 60, 2, True), (1, 4, 10, 3, False), (2, 1, 20, 0, True), (2, 2, 5, 1, False), (2, -1, 3, 2, False)]
+    df = spark.createDataFrame(rows, "anchor_id long, entity long, cnt long, pos int, alternative boolean")
+    classes = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1)], "entity long, class_id int")
+    got = {(r.anchor_id, r.pos): r.entity for r in candidates.extend_by_class(df, classes, keep_min=25).collect()}
+    assert got == {(1, 0): 1, (1, 1): 1, (1, 2): 1, (1, 3): 4, (2, 0): 1, (2, 1): -1, (2, 2): -1}
+    plan = catalog.queries()["flt_extend_relations"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # suppliers' classes, and their nations
