@@ -27,3 +27,10 @@ def test_densify_deals_no_grams(spark, sf_small):
     plan = _plan(catalog.queries()["str_densify_features"](spark, sf_small))
     assert "SortMergeJoin [doc_id" in plan and not any("[pos" in x and "BroadcastHashJoin" in x for x in plan.split("\n"))
     assert plan.count("Generate posexplode") == 1  # the tokens are read once, features know their grams' ends already
+
+
+def test_merge_tags_broadcasts_no_exploded_side(spark, tmp_path):
+    words, tags = _texts(spark, tmp_path)
+    found = linking.merge_tags(words, tags.withColumnRenamed("link", "tag"))
+    assert "Broadcast" not in _plan(found)
+    assert found.where("tag is not null").count() == 50 * 4
