@@ -1,5 +1,7 @@
 """Candidates that stay with their anchor: the same results as of rows a mention, without dealing a row for each mention and candidate."""
 
+import pytest
+
 from tessera.operators import candidates, decode
 from tessera.plans import catalog
 
@@ -83,3 +85,41 @@ def test_search_lists_no_candidates_of_mentions(spark, sf_small):
     every = [frozenset(x for x in range(4) if m >> x & 1) for m in range(16)]
     assert problem.solved(every) == {p: solved(p) for p in every}
     assert problem.rows.count() <= 20 and problem.rows.columns == ["kinds"]
+
+
+@pytest.mark.parametrize("reorder", [False, True])
+@pytest.mark.parametrize("penalty", [0.0, 0.5, -0.5, 30.0])
+def test_beams_in_place_are_those_of_rows(spark, reorder, penalty):
+    from pyspark.sql import functions as F
+
+    rows = [(d, s, sorted({(d * 7 + s * 5 + i * i) % 40 for i in range((d * 3 + s) % 11 + 1)})) for d in range(60) for s in range(d % 9 + 1)]
+    steps = spark.createDataFrame(rows, "doc_id long, step long, entities array<bigint>")
+    wide = steps.select("doc_id", "step", F.posexplode("entities").alias("pos", "entity"))
+    e, s = F.col("entity"), F.col("step")
+    scored = wide.select("*", ((e * 31 + s * 7) % 97 / 10).alias("score"), (e % 6 != 0).alias("valid"))
+    want = {(r.doc_id, r.step): (r.entity, r.score) for r in decode.beam(scored, 3, reorder, penalty).collect()}
+    found = decode.beam_in_place(steps, lambda e, step: ((e * 31 + step * 7) % 97 / 10, e % 6 != 0), 3, reorder, penalty)
+    assert {(r.doc_id, r.step): (r.entity, r.score) for r in found.collect()} == want and len(want) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["dec_beam", "dec_reorder"])
+def test_beams_deal_a_row_for_each_mention(spark, sf_small, name):
+    from tessera.plans import corpus_q
+    from tessera.plans.registry import Tables
+
+    rows = Tables(spark, sf_small).sql(corpus_q.DS)
+    found = catalog.queries()[name](spark, sf_small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [doc_id" in x for x in plan.split("\n"))
+    want = decode.beam(rows, 4, name == "dec_reorder", 0.5)
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    values = np.array([0, -1, 1, 63, -64, 64, 127, 128, 1 << 40, -(1 << 62), (1 << 63) - 1, -(1 << 63), 5], np.int64)
+    data, sizes = decode.pack(values)
+    back, ends = decode.unpack(data)
+    assert back.tolist() == values.tolist() and ends.tolist() == np.cumsum(sizes).tolist() and sizes[0] == 1
+    assert len(decode.unpack(decode.pack(values[:0])[0])[0]) == 0
