@@ -2,7 +2,10 @@
 
 Two texts are linked where the sets of their five-word shingles have a Jaccard similarity
 of ``4/5`` or more; groups are what chains of links join.  Equal sets are one node.
-Candidates share one of ``BANDS`` keys of ``ROWS`` minimum hashes each: a pair of
+Candidates are found as ``op10`` finds its links: SimHash fingerprints (of the sets'
+shingle hashes), pivot tables whose coordinates make buckets and whose distances discard
+pairs, and a count of the differing bits (``simhash.near_links``).  Three bits reach few of
+the pairs of similarity 0.8, so there are others beside these: nodes that share one of ``BANDS`` keys of ``ROWS`` minimum hashes each: a pair of
 similarity 0.8 has none in common with a chance of (1 - 0.8^5)^40 = 1.3e-7, a more
 similar one with less.  Nodes that chains of shared keys join are a block; every pair of a
 block that shares a shingle is counted exactly, whichever keys it has in common, and a
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .simhash import firsts, pivots, shingle_hashes
+from .simhash import bit_votes, firsts, near_links, pivots, shingle_hashes
 
 SHINGLE, BANDS, ROWS, CHUNK = 5, 40, 5, 2048
 STEP = 1 << 15
@@ -65,10 +68,12 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values, offsets = _lists(batch, "h")
         node = [int.from_bytes(blake2b(values[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        bits = (2 * bit_votes(values, offsets) > np.diff(offsets)[:, None]).astype(np.uint8)
+        fp = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(np.int64) if len(bits) else np.zeros(0, np.int64)
         full = np.diff(offsets) > 0
         keys = signatures(values, np.r_[0, offsets[1:][full]]).view(np.int64)
         places = np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(places), pa.array(keys.reshape(-1)))], names=["doc_id", "text_hash", "node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.ListArray.from_arrays(pa.array(places), pa.array(keys.reshape(-1)))], names=["doc_id", "text_hash", "node", "fp", "bands"])
 
 
 def set_links(nodes: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +123,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b): links of ``prints(node, fp, bands)`` whose chains join each node with all that may be similar: by fingerprints
+    that pivot tables find within ``simhash.MOST`` bits, and by shared keys."""
+    # a fingerprint's least node stands for it, and all its nodes are candidates of each other
+    owners = materialize(prints.groupBy("fp").agg(F.min("node").alias("hub")), "set-fingerprints")
+    near = near_links(owners.select("fp"))
+    end = lambda side: owners.select(F.col("fp").alias(side), F.col("hub").alias(f"_{side}"))
+    by_bits = near.join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    own = prints.select("node", F.col("fp").alias("_fp")).join(owners, F.col("_fp") == F.col("fp")).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    keys = prints.select("node", F.explode("bands").alias("band"))
+    hubs = keys.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").select(F.col("band").alias("_band"), "hub")
+    by_keys = keys.join(hubs, F.col("band") == F.col("_band")).where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return by_keys.unionByName(own).unionByName(by_bits).distinct()
+
+
 def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash (tells texts apart under one doc_id), component_id."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     hashed = slim.select("doc_id", "text_hash", shingle_hashes(F.col("text"), SHINGLE).alias("h"))
-    prints = materialize(hashed.mapInArrow(_nodes, "doc_id long, text_hash long, node long, bands array<bigint>"), "shingle-sets")
+    prints = materialize(hashed.mapInArrow(_nodes, "doc_id long, text_hash long, node long, fp long, bands array<bigint>"), "shingle-sets")
 
-    keys = prints.select("node", F.explode("bands").alias("band"))
-    hubs = keys.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").select(F.col("band").alias("_band"), "hub")
-    stars = keys.join(hubs, F.col("band") == F.col("_band")).where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    linked = components(materialize(stars, "shared-keys")).select("node", F.col("root").alias("block"))
+    linked = components(materialize(candidates(prints), "candidates")).select("node", F.col("root").alias("block"))
     blocks = materialize(linked.unionByName(linked.select(F.col("block").alias("node"), "block").distinct()), "blocks")
 
     chunks = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_chunks")).withColumnRenamed("block", "_block")
