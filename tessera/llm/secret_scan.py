@@ -10,7 +10,7 @@ shares with a uniform one (``UNIFORM``), so ratios do not drift as counts grow.
 
 A token whose log-likelihood ratio (random against ordinary) for each character reaches a
 cutoff is a span of kind ``markov``, unless a span of the other kinds covers it.  The cutoff
-is calibrated on strings that no model was trained on: words of one hash fold, joined to
+is calibrated on strings that no model was trained on: all words of one hash fold, joined to
 identifiers, and other random strings.  It lies halfway between what all but one in a
 thousand of the identifiers stay below and what all but one in a hundred of the random
 strings reach (but never below the first of the two).
@@ -42,8 +42,9 @@ MIN_RATIO, UNIFORM = 0.4, 0.02
 LOW, SPAN = 43, 80
 #: Characters of tokens, and how many of them there are.
 ALPHABET, LETTERS = "[^A-Za-z0-9+/_.=-]", 68
-#: Random strings to train from; words of the calibration fold (one in FOLDS) that identifiers to calibrate on are made of.
-SAMPLE_STRINGS, CALIBRATION_WORDS, FOLDS = 4000, 3000, 5
+#: Random strings to train from (made by a rule, there is no table of them); words of the calibration fold (one in FOLDS)
+#: that are joined among each other, about; parts of 1 that shares of the calibration are told apart by.
+SAMPLE_STRINGS, BLOCK_WORDS, FOLDS, BINS = 4000, 1000, 5, 1000
 
 
 def running(values: Column) -> Column:
@@ -157,11 +158,12 @@ def ordinary_samples(known: DataFrame) -> DataFrame:
     return known.where("not held").select(F.explode(F.array(w, *around, *joined)).alias("sample"), F.lit(False).alias("random"), "n")
 
 
-def calibration_samples(known: DataFrame, n: int = CALIBRATION_WORDS) -> DataFrame:
-    """(sample) identifiers of the calibration fold's words: the ``n`` of smallest hash (a bounded sample of
-    words, no texts), each joined to three others in one of six ways."""
-    few = known.where("held").groupBy(F.lower("word").alias("w")).agg(F.lit(1)).orderBy(F.xxhash64("w"), "w").limit(n)
-    listed = few.agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "w"))).alias("l")).where(F.size("l") > 0)
+def calibration_samples(known: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """(sample) identifiers of all words of the calibration fold: in hash blocks of about ``block`` words, each word
+    joined to three others of its block in one of six ways."""
+    held = materialize(known.where("held").groupBy(F.lower("word").alias("w")).agg(F.lit(1).alias("_one")).select("w"), "held-words")
+    blocks = -(-held.count() // block) or 1
+    listed = held.groupBy(F.pmod(F.xxhash64("w", F.lit("block")), F.lit(blocks)).alias("_b")).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "w"))).alias("l"))
     four = F.transform("l", lambda _, i: F.array(*[F.get("l", F.pmod(i + k, F.size("l")))["w"] for k in (0, 7, 31, 103)]))
     rows = listed.select(F.posexplode(four).alias("i", "p"))
     year, p = (1990 + F.pmod(F.hash("i"), F.lit(40))).cast("string"), F.col("p")
@@ -169,13 +171,25 @@ def calibration_samples(known: DataFrame, n: int = CALIBRATION_WORDS) -> DataFra
     return rows.select(F.get(F.array(*ways), F.pmod("i", F.lit(len(ways)))).alias("sample")).where(F.char_length("sample") >= MIN_TOKEN)
 
 
+def share_below(samples: DataFrame, each: Column, share: float) -> float | None:
+    """A value that at least ``share`` of all samples' ``each`` stay below, the least of ``BINS`` in 1; None without samples.
+    Counts of bins are added up, so it is the same however rows are dealt."""
+    counts = samples.groupBy(F.floor(each * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin is not null").collect()  # a ratio has a bound: at most some 20 * BINS rows
+    total, seen = sum(r.n for r in counts), 0
+    for r in sorted(counts):
+        seen += r.n
+        if seen >= share * total:
+            return (r.bin + 1) / BINS
+    return None
+
+
 def calibrate(known: DataFrame, model: list[float]) -> float:
     """The cutoff of the ratio for each character (see above)."""
     spark, each = known.sparkSession, ratio(F.col("sample"), model) / F.char_length("sample")
-    high = calibration_samples(known).agg(F.percentile_approx(each, 0.999, 100_000)).first()[0]
+    high = share_below(calibration_samples(known), each, 0.999)
     if high is None:
         return MIN_RATIO
-    low = random_samples(spark, seed="calibration").agg(F.percentile_approx(each, 0.01, 100_000)).first()[0]
+    low = share_below(random_samples(spark, seed="calibration"), each, 0.01)
     return max(high, (high + low) / 2)
 
 

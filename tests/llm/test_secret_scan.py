@@ -110,3 +110,23 @@ def test_no_words_no_calibration(spark):
     docs = spark.createDataFrame([(1, None), (2, "123 !!")], "doc_id long, text string")
     model, cutoff = ss.fitted(docs)
     assert cutoff == ss.MIN_RATIO and len(model) == ss.SPAN**2
+
+
+def test_calibration_takes_all_words_of_its_fold(spark):
+    """A large vocabulary: each word of the fold begins one identifier, and the cutoff's share is counted over all of them."""
+    letters = string.ascii_lowercase
+    rows = [("".join(letters[i // 26**k % 26] for k in range(6)), 1, i % 5 < 4) for i in range(7001, 60000, 7)]
+    known = spark.createDataFrame(rows, "word string, n long, held boolean")
+    assert sum(x[2] for x in rows) > 5000
+    samples = [r.sample for r in ss.calibration_samples(known).collect()]
+    begins = {re.split("[_/-]", re.sub("(?<=[a-z])([A-Z])", r"-\1", x))[0].lower() for x in samples}
+    assert begins == {w for w, _, held in rows if held} and len(samples) == len(begins)
+
+
+def test_share_below_counts_every_row(spark):
+    values = [i / 7919 - 0.5 for i in range(7919)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for share in (0.01, 0.5, 0.999):
+        got = ss.share_below(df, F.col("x"), share)
+        assert sum(v < got for v in values) >= share * len(values) > sum(v < got - 1 / ss.BINS for v in values)
+    assert ss.share_below(df.where("false"), F.col("x"), 0.5) is None
