@@ -123,3 +123,15 @@ def test_packed_numbers():
     back, ends = decode.unpack(data)
     assert back.tolist() == values.tolist() and ends.tolist() == np.cumsum(sizes).tolist() and sizes[0] == 1
     assert len(decode.unpack(decode.pack(values[:0])[0])[0]) == 0
+
+
+@pytest.mark.parametrize("name", ["srch_ga"])
+def test_searches_write_a_row_for_each_anchor(spark, sf_small, name, monkeypatch):
+    from tessera.operators import search
+
+    written = []
+    keep = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, of: written.append(keep(df, of)) or written[-1])
+    assert catalog.queries()[name](spark, sf_small).count() == 1
+    anchors = spark.read.parquet(f"{sf_small}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert [w.count() for w in written] == [anchors]
