@@ -125,7 +125,7 @@ def test_packed_numbers():
     assert len(decode.unpack(decode.pack(values[:0])[0])[0]) == 0
 
 
-@pytest.mark.parametrize("name", ["srch_ga"])
+@pytest.mark.parametrize("name", ["srch_ga", "srch_cem"])
 def test_searches_write_a_row_for_each_anchor(spark, sf_small, name, monkeypatch):
     from tessera.operators import search
 
