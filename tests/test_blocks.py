@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, blocks
+from tessera.operators import aggregates, blocks, decode
 from tessera.plans import catalog
 
 
@@ -47,3 +47,35 @@ def test_unique_examples_of_links_are_those_of_rows(spark, monkeypatch, wide, at
 def test_examples_are_not_joined_by_rows(spark, sf_small):
     plan = catalog.queries()["agg_unique_examples"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("reorder", [False, True])
+@pytest.mark.parametrize("at_once", [blocks.GATHERED, 60])
+def test_beams_of_links_are_those_of_rows(spark, monkeypatch, reorder, at_once):
+    """Against beams over a row for each step and candidate: links without document, anchor or entity, anchors without entities."""
+    monkeypatch.setattr(blocks, "GATHERED", at_once)
+    monkeypatch.setattr(decode, "PART", at_once)
+    monkeypatch.setattr(decode, "STEPS", at_once)
+    rng = random.Random(7)
+    none = lambda x, p: None if rng.random() < p else x
+    rows = [(d, s, none(rng.randrange(30), 0.05), none(rng.randrange(-20, 60), 0.05)) for d in range(60) for s in range(1, d % 9 + 2)]
+    rows += [(5, 20, 90, None), (5, 21, 91, 1 << 40)]
+    links = spark.createDataFrame(rows, "doc_id long, step long, anchor_id long, entity long").repartition(3)
+    offers = links.where("entity is not null").select("anchor_id", "entity").distinct()
+    e, s = F.col("entity"), F.col("step")
+    score = F.pmod(e * 31 + s * 7, F.lit(97)) / 10
+    wide = links.select("doc_id", "step", "anchor_id").join(offers, "anchor_id").select("doc_id", "step", "entity", e.alias("pos"), score.alias("score"), (e % 6 != 0).alias("valid"))
+    want = {(r.doc_id, r.step): (r.entity, r.score) for r in decode.beam(wide, 3, reorder, 0.5).collect()}
+    rate = lambda e, step: ((e * 31 + step * 7) % 97 / 10, e % 6 != 0)
+    assert {(r.doc_id, r.step): (r.entity, r.score) for r in decode.beam_of_links(links, rate, 3, reorder, 0.5).collect()} == want and len(want) > 250
+    # links of no document are one document
+    lost = links.withColumn("doc_id", F.nullif("doc_id", F.lit(17)))
+    found = {(r.doc_id, r.step): (r.entity, r.score) for r in decode.beam_of_links(lost, rate, 3, reorder, 0.5).collect()}
+    assert found == {(None if d == 17 else d, s): v for (d, s), v in want.items()}
+    assert decode.beam_of_links(links.where("doc_id < 0"), rate, 3, reorder, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["dec_beam", "dec_reorder"])
+def test_beams_deal_lines_once_as_rows(spark, sf_small, name):
+    plan = catalog.queries()[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and "Aggregate" not in plan
